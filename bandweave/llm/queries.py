@@ -8,8 +8,8 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bandweave.llm import bpe, packing
-from bandweave.llm.common import arrow_pass, table
+from bandweave.llm import bpe, packing, pii, quality
+from bandweave.llm.common import arrow_pass, table, written
 
 
 def vocabulary() -> str:
@@ -22,6 +22,12 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary(), derive={"ids_crc32": F.crc32("ids")})
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = written(quality.features(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).drop("text"), "quality")
+    kept = quality.judged(rows, quality.host_verdicts(rows))
+    return kept.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = vocabulary()
 
@@ -35,5 +41,12 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return arrow_pass(table(spark, sf_dir, "documents").select("doc_id", "text"), work, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string", 200)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op6_bpe)}
-ORACLE: dict[str, str] = {}
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    said = lambda kept: f"array_join(transform(filter(pii, x -> {kept}), x -> concat_ws(':', x.kind, x.start, x.end)), ',')"
+    counts = [F.expr(f"cast(size(filter(pii, x -> x.base and x.kind = '{k}')) as bigint)").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.expr(f"sha2({said('x.base')}, 256)").alias("base_sha256"), F.expr(said("true")).alias("spans"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op4_quality, op6_bpe, op10_pii)}
+ORACLE: dict[str, str] = {"op4_quality": quality.ORACLE}
