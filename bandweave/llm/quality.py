@@ -30,7 +30,7 @@ RULES = {
     "dup_lines": f"100 * n_dup_lines > {MOST_DUP_LINES} * n_lines",
 }
 # The white space between words, and the symbols that are counted.
-SPACE = " \\t\\n\\u000b\\f\\r"
+SPACE = " \\t\\n\\u000b\\u000c\\r"
 SYMBOLS = "#*$%&|<>"
 
 
