@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bandweave.llm import bpe, packing, pii, quality
+from bandweave.llm import bpe, packing, pii, quality, warc
 from bandweave.llm.common import arrow_pass, table, written
 
 
@@ -22,6 +22,11 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary(), derive={"ids_crc32": F.crc32("ids")})
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.read(warc.write(table(spark, sf_dir, "pages")), payloads=False)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = written(quality.features(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).drop("text"), "quality")
     kept = quality.judged(rows, quality.host_verdicts(rows))
@@ -35,7 +40,7 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         codec = bpe.codec(path)
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
         for p in parts:
-            ids = codec.encode(p["text"])
+            ids = [x.tolist() for x in codec.encode(p["text"])]
             yield {"doc_id": p["doc_id"], "n_tokens": [*map(len, ids)], "ids_sha256": [sha(",".join(map(codec.text.__getitem__, x))) for x in ids], "decoded_sha256": [sha(codec.decode(x)) for x in ids]}
 
     return arrow_pass(table(spark, sf_dir, "documents").select("doc_id", "text"), work, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string", 200)
@@ -48,5 +53,5 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.expr(f"sha2({said('x.base')}, 256)").alias("base_sha256"), F.expr(said("true")).alias("spans"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op4_quality, op6_bpe, op10_pii)}
-ORACLE: dict[str, str] = {"op4_quality": quality.ORACLE}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op3_warc, op4_quality, op6_bpe, op10_pii)}
+ORACLE: dict[str, str] = {"op3_warc": warc.ORACLE, "op4_quality": quality.ORACLE}
