@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bandweave.llm import bpe, packing, pii, quality, warc
+from bandweave.llm import bpe, packing, pii, quality, simhash, warc
 from bandweave.llm.common import arrow_pass, table, written
 
 
@@ -33,6 +33,12 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = simhash.chained(table(spark, sf_dir, "documents"))
+    found = [simhash.hex_of("fp_hi", "fp_lo").alias("fingerprint"), simhash.hex_of("edited_hi", "edited_lo").alias("edited_fingerprint")]
+    return rows.select("doc_id", "n_chars", F.col("edited").alias("edited_sha256"), *found, simhash.likeness("fp", "edited").alias("near_edited"), simhash.likeness("fp", "next").alias("near_next"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = vocabulary()
 
@@ -53,5 +59,5 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.expr(f"sha2({said('x.base')}, 256)").alias("base_sha256"), F.expr(said("true")).alias("spans"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op3_warc, op4_quality, op6_bpe, op10_pii)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op3_warc, op4_quality, op5_simhash, op6_bpe, op10_pii)}
 ORACLE: dict[str, str] = {"op3_warc": warc.ORACLE, "op4_quality": quality.ORACLE}
