@@ -2,7 +2,9 @@
 
 A sequence of tokens is what the merges make of a word if and only if each token is what the merges make of its own
 bytes and each adjacent pair is compatible, that is no earlier merge would cross the border between its two tokens.
-Most words pass with the greedy longest match; the rest is merged with a heap.
+Words that a worker hasn't met yet are worked on together: the longest token at every byte is looked up for all of them
+at once, all adjacent pairs are checked at once, and words that fail are merged in step, one merge of each a round.
+Long words are merged one by one with a heap.
 
 Null texts count as empty (no ids). Texts of any length take linear time, words of any length n log n.
 """
@@ -12,10 +14,8 @@ from __future__ import annotations
 import heapq
 import json
 import re
-from collections import ChainMap
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import regex
@@ -27,22 +27,57 @@ from bandweave.llm.common import arrow_pass
 WHITE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 # Fixed value: the vocabulary's published split pattern.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: A run of white space with the run of other characters behind it: no piece of SPLIT crosses the border of two such units.
-UNIT = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
-# Letters and numbers of Latin-1, by which SPLIT reads for units within it.
+# The letters and numbers of Latin-1, for texts within it.
 LATIN = "A-Za-zªµºÀ-ÖØ-öø-ÿ"
 LATIN_NUMBERS = "0-9²³¹¼½¾"
 SPLIT_LATIN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LATIN}]+| ?[{LATIN_NUMBERS}]+| ?[^{WHITE}{LATIN}{LATIN_NUMBERS}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 SPLIT_ANY = regex.compile(SPLIT)
-OUTSIDE_LATIN = re.compile("[^\x00-\xff]")
-#: Units and words kept by a worker, and the longest ones that are kept.
-CACHE, CACHE_CHARS = 300_000, 48
-#: Words of up to so many bytes are merged by looking at all pairs, longer ones with a heap.
+#: Words kept by a worker, and the longest ones that are kept.
+CACHE, CACHE_CHARS = 600_000, 48
+#: Words of up to so many bytes are worked on together.
 SHORT = 40
 
 
-def pieces(unit: str) -> list[str]:
-    return SPLIT_ANY.findall(unit) if OUTSIDE_LATIN.search(unit) else SPLIT_LATIN.findall(unit)
+def pieces(text: str) -> list[str]:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return SPLIT_ANY.findall(text)
+    return SPLIT_LATIN.findall(text)
+
+
+class Lookup:
+    """A hash table from non-negative integers to small ones that numpy arrays are looked up in; -1 where none is."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
+        self.bits = int(len(keys) * 6).bit_length()
+        self.keys = np.full((1 << self.bits) + 64, -1, np.int64)
+        self.values = np.full((1 << self.bits) + 64, -1, np.int32)
+        left = np.arange(len(keys))
+        at = self.slot(keys)
+        while len(left):
+            free = self.keys[at] < 0
+            self.keys[at[free]] = keys[left[free]]  # of several for one slot, the last stays
+            stayed = self.keys[at] == keys[left]
+            self.values[at[stayed]] = values[left[stayed]]
+            left, at = left[~stayed], at[~stayed] + 1
+
+    def slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        at = self.slot(keys)
+        found, out = self.keys[at], self.values[at]
+        miss = np.flatnonzero(found != keys)
+        out[miss] = -1
+        miss = miss[found[miss] >= 0]
+        while len(miss):
+            at[miss] += 1
+            found = self.keys[at[miss]]
+            hit = found == keys[miss]
+            out[miss[hit]] = self.values[at[miss[hit]]]
+            miss = miss[~hit & (found >= 0)]
+        return out
 
 
 def byte_letters() -> dict[str, int]:
@@ -76,28 +111,58 @@ class Codec:
         self.left, self.right = np.arange(n), np.arange(n)  # a token's two halves; itself for single bytes
         for (a, b), c in self.pairs.items():
             self.left[c], self.right[c] = a, b
-        keys = np.array([a * n + b for a, b in self.pairs], dtype=np.int64)
-        order = np.argsort(keys)
-        self.pair_keys, self.pair_to = keys[order], np.array([*self.pairs.values()], dtype=np.int64)[order]
+        self.pair = Lookup(np.array([a * n + b for a, b in self.pairs], np.int64), np.array([*self.pairs.values()], np.int64))
         self.longest = max(map(len, self.ids))
+        self.size = np.array([*map(len, self.bytes)])
+        self.single = np.array([self.ids[bytes((b,))] for b in range(256)])
+        known = [(t, i) for t, i in self.ids.items() if len(t) <= SHORT]
+        self.token = Lookup(np.array([self.key(np.frombuffer(t, np.uint8)) for t, _ in known]), np.array([i for _, i in known]))
         self.own: dict[int, bool] = {}
         self.text = [str(i) for i in range(n)]
-        self.single = [self.ids[bytes((b,))] for b in range(256)]
-        self.kept: dict[str, tuple[int, ...]] = {}
-        self.kept_words: dict[str, list[int]] = {}
+        self.kept: dict[str, bytes] = {}  # ids as little-endian unsigned 32-bit integers
         self.words = self.failed = 0
 
+    @staticmethod
+    def grown(keys: np.ndarray, byte: np.ndarray, length: int) -> np.ndarray:
+        """Keys of byte strings from those of one byte less: the bytes themselves up to six, a hash of them beyond."""
+        if length <= 6:
+            return keys * 256 + byte + (1 << 48)
+        return (keys * np.int64(0x2545F4914F6CDD1D) + byte + length) & np.int64(0x7FFFFFFFFFFFFFFF)
+
+    def key(self, token: np.ndarray) -> int:
+        keys = np.zeros(1, np.int64)
+        for length, b in enumerate(token.astype(np.int64), 1):
+            keys = self.grown(keys, b, length)
+        return int(keys[0])
+
     # speculation
 
-    def greedy(self, word: bytes) -> list[int]:
-        out, at, n, ids, longest = [], 0, len(word), self.ids, self.longest
-        while at < n:
-            for end in range(min(n, at + longest), at, -1):
-                if (i := ids.get(word[at:end])) is not None:
-                    out.append(i)
-                    at = end
-                    break
-        return out
+    def greedy(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The longest token first, for words of up to SHORT bytes: all tokens, and the word that each is of."""
+        flat = np.frombuffer(b"".join(words), np.uint8).astype(np.int64)
+        ends = np.cumsum([*map(len, words)])
+        starts = np.concatenate([[0], ends[:-1]])
+        room = np.repeat(ends, ends - starts) - np.arange(len(flat))
+        best, size, at, keys = np.full(len(flat), -1), np.ones(len(flat), np.int64), np.arange(len(flat)), np.zeros(len(flat), np.int64)
+        for length in range(1, min(self.longest, SHORT) + 1):
+            enough = room[at] >= length
+            at, keys = at[enough], keys[enough]
+            if not len(at):
+                break
+            keys = self.grown(keys, flat[at + length - 1], length)
+            found = self.token(keys)
+            hit = found >= 0
+            best[at[hit]], size[at[hit]] = found[hit], length
+        tokens, owners, at, owner = [], [], starts, np.arange(len(words))
+        while len(at):
+            tokens.append(best[at])
+            owners.append(owner)
+            at = at + size[at]
+            on = at < ends[owner]
+            at, owner = at[on], owner[on]
+        tokens, owners = np.concatenate(tokens), np.concatenate(owners)
+        order = np.argsort(owners, kind="stable")
+        return tokens[order], owners[order]
 
     # verification
 
@@ -107,9 +172,8 @@ class Codec:
         at = np.arange(len(one))
         one, two, limit = one.astype(np.int64), two.astype(np.int64), np.full(len(one), n, np.int64)
         while len(at):
-            key = one * n + two
-            k = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
-            crossing = (self.pair_keys[k] == key) & (self.pair_to[k] < limit)
+            made = self.pair(one * n + two)
+            crossing = (made >= 0) & (made < limit)
             ok[at[crossing]] = False
             first = one > two  # which of both was merged last
             half_one, half_two = self.right[one], self.left[two]
@@ -132,19 +196,8 @@ class Codec:
     # exact merging
 
     def merged(self, word: bytes) -> list[int]:
-        tokens, pairs = [*map(self.single.__getitem__, word)], self.pairs
-        n, none, get = len(tokens), len(self.bytes), self.pairs.get
-        if n <= SHORT:
-            ups = [get(p, none) for p in zip(tokens, tokens[1:])]
-            while ups and (to := min(ups)) < none:
-                k = ups.index(to)
-                tokens[k : k + 2] = [to]
-                del ups[k]
-                if k:
-                    ups[k - 1] = get((tokens[k - 1], to), none)
-                if k < len(ups):
-                    ups[k] = get((to, tokens[k + 1]), none)
-            return tokens
+        tokens: list[int] = [self.ids[bytes((b,))] for b in word]
+        n, pairs = len(tokens), self.pairs
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
         heap = [(to, k, a, b) for k, (a, b) in enumerate(zip(tokens, tokens[1:])) if (to := pairs.get((a, b))) is not None]
         heapq.heapify(heap)
@@ -163,56 +216,93 @@ class Codec:
                 heapq.heappush(heap, (up, k, to, tokens[after[k]]))
         return [t for t in tokens if t >= 0]
 
+    def merged_together(self, words: list[bytes]) -> list[bytes]:
+        """Words of one length each round: the earliest merge of each, the leftmost of equal ones."""
+        out = [b""] * len(words)
+        n, lengths = len(self.bytes), np.array([*map(len, words)])
+        for length in np.unique(lengths):
+            own = np.flatnonzero(lengths == length)
+            tokens = self.single[np.frombuffer(b"".join([words[k] for k in own]), np.uint8).reshape(len(own), length)]
+            ups = self.ups(tokens[:, :-1], tokens[:, 1:])
+            while len(own):
+                left = ups.min(axis=1, initial=n)
+                if len(ended := np.flatnonzero(left == n)):
+                    raw, width = tokens[ended].astype("<u4").tobytes(), 4 * tokens.shape[1]
+                    for j, k in enumerate(own[ended].tolist()):
+                        out[k] = raw[j * width : (j + 1) * width]
+                    on = left < n
+                    own, tokens, ups, left = own[on], tokens[on], ups[on], left[on]
+                    if not len(own):
+                        break
+                row, at = np.arange(len(own)), ups.argmin(axis=1)
+                tokens[row, at] = left
+                columns = np.arange(tokens.shape[1] - 1)
+                tokens = np.take_along_axis(tokens, columns + (columns > at[:, None]), 1)
+                columns = columns[:-1]
+                ups = np.take_along_axis(ups, columns + (columns >= at[:, None]), 1)
+                some = np.flatnonzero(at > 0)
+                ups[some, at[some] - 1] = self.ups(tokens[some, at[some] - 1], tokens[some, at[some]])
+                some = np.flatnonzero(at < ups.shape[1])
+                ups[some, at[some]] = self.ups(tokens[some, at[some]], tokens[some, at[some] + 1])
+        return out
+
+    def ups(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """What pairs merge to; more than any token where they don't."""
+        made = self.pair((one * len(self.bytes) + two).ravel()).reshape(one.shape)
+        return np.where(made < 0, len(self.bytes), made)
+
     # all of it
 
-    def words_encoded(self, words: list[bytes]) -> list[list[int]]:
-        guess = [self.greedy(w) for w in words]
-        flat = np.fromiter(chain.from_iterable(guess), np.int64)
-        owner = np.repeat(np.arange(len(words)), [len(g) for g in guess])
-        good = np.ones(len(words), bool)
-        if len(flat):
-            tokens, where = np.unique(flat, return_inverse=True)
-            good[owner[~np.array([self.stands(int(t)) for t in tokens])[where]]] = False
-            same = np.flatnonzero(owner[1:] == owner[:-1])
-            good[owner[same[~self.compatible(flat[same], flat[same + 1])]]] = False
-        self.words += len(words)
-        self.failed += int((~good).sum())
-        for k in np.flatnonzero(~good):
-            guess[k] = self.merged(words[k])
-        return guess
-
-    def learn(self, units: Iterable[str]) -> dict[str, tuple[int, ...]]:
-        """Encodes units that aren't kept yet."""
-        units = list(units)
-        split = [*map(pieces, units)]
-        if len(self.kept_words) > CACHE:
-            self.kept_words.clear()
-        known = self.kept_words
-        if new := [*{w for ws in split for w in ws if w not in known}]:
-            learnt = dict(zip(new, self.words_encoded([w.encode() for w in new])))
-            known.update((w, ids) for w, ids in learnt.items() if len(w) <= CACHE_CHARS)
-            known = ChainMap(learnt, known) if any(len(w) > CACHE_CHARS for w in new) else known
-        return {u: tuple(chain.from_iterable(known[w] for w in ws)) for u, ws in zip(units, split)}
-
-    def encode(self, texts: Iterable[str | None]) -> list[list[int]]:
+    def encoded(self, words: list[bytes]) -> list[bytes]:
+        short = [k for k, w in enumerate(words) if len(w) <= SHORT]
+        out = [np.array(self.merged(w), "<u4").tobytes() if len(w) > SHORT else b"" for w in words]
+        if not short:
+            return out
+        some = [words[k] for k in short]
+        tokens, owners = self.greedy(some)
+        good = np.ones(len(some), bool)
+        kinds, where = np.unique(tokens, return_inverse=True)
+        good[owners[~np.array([self.stands(int(t)) for t in kinds])[where]]] = False
+        same = np.flatnonzero(owners[1:] == owners[:-1])
+        good[owners[same[~self.compatible(tokens[same], tokens[same + 1])]]] = False
+        bounds = np.searchsorted(owners, np.arange(len(some) + 1))
+        for j in np.unique(owners[self.size[tokens] > 6]).tolist():  # such tokens were found by a hash
+            good[j] &= b"".join(map(self.bytes.__getitem__, tokens[bounds[j] : bounds[j + 1]].tolist())) == some[j]
+        raw, ends = tokens.astype("<u4").tobytes(), (4 * bounds).tolist()
+        for j in np.flatnonzero(good).tolist():
+            out[short[j]] = raw[ends[j] : ends[j + 1]]
+        bad = np.flatnonzero(~good).tolist()
+        for j, ids in zip(bad, self.merged_together([some[j] for j in bad])):
+            out[short[j]] = ids
+        self.words += len(some)
+        self.failed += len(bad)
+        return out
+
+    def encode(self, texts: Iterable[str | None]) -> list[np.ndarray]:
         """Each text's ids. Strings of special tokens become their ids, as the library does by default."""
         cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         parts: list[list[list[str] | int]] = []
         for text in texts:
             text = text or ""
             segments = cut.split(text) if cut and any(s in text for s in self.special) else [text]
-            parts.append([self.special[s] if s in self.special else UNIT.findall(s) for s in segments])
+            parts.append([self.special[s] if s in self.special else pieces(s) for s in segments])
         kept = self.kept
         if len(kept) > CACHE:
             kept.clear()
-        found = kept
-        if new := {u for p in parts for s in p if not isinstance(s, int) for u in s if u not in kept}:
-            learnt = self.learn(new)
-            kept.update((u, ids) for u, ids in learnt.items() if len(u) <= CACHE_CHARS)
-            if any(len(u) > CACHE_CHARS for u in learnt):
-                found = ChainMap(kept, learnt)
-        get = found.__getitem__
-        return [[*chain.from_iterable([s] if isinstance(s, int) else chain.from_iterable(map(get, s)) for s in p)] for p in parts]
+        new: set[str] = set()
+        for p in parts:
+            for s in p:
+                if not isinstance(s, int):
+                    new.update(s)
+        words = [w for w in new if w not in kept]
+        kept.update(zip(words, self.encoded([w.encode() for w in words])))
+        get = kept.__getitem__
+        whole = lambda p: b"".join([s.to_bytes(4, "little") if isinstance(s, int) else b"".join(map(get, s)) for s in p])
+        out = [np.frombuffer(whole(p), "<u4") for p in parts]
+        for w in words:
+            if len(w) > CACHE_CHARS:
+                del kept[w]
+        return out
 
     def decode(self, ids: Iterable[int]) -> str:
         """The text of ids, special tokens included; bytes that aren't UTF-8 become U+FFFD."""
@@ -232,7 +322,7 @@ def encode(df: DataFrame, path: str, text: str = "text", to: str = "ids") -> Dat
 
     def work(parts: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
         for p in parts:
-            yield p | {to: codec(path).encode(p[text])}
+            yield p | {to: [x.astype(np.int32) for x in codec(path).encode(p[text])]}
 
     return arrow_pass(df, work, schema, 200)
 

@@ -18,7 +18,6 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -139,7 +138,7 @@ def cut(docs: DataFrame, path: str, size: int = SEQUENCE, end_id: int = END_ID,
         for p in parts:
             out: dict[str, list] = {n: [] for n in ("doc_id", "start", "length", "doc_tokens", "ids", "task", "number")}
             for doc_id, task, ids in zip(p["doc_id"], p["task"], codec(path).encode(p[text])):
-                raw = np.array([*ids, end_id], "<u4").tobytes()
+                raw = ids.tobytes() + end_id.to_bytes(4, "little")
                 for at in range(0, len(raw), 4 * size):
                     piece = raw[at : at + 4 * size]
                     n = len(piece) // 4
@@ -148,7 +147,7 @@ def cut(docs: DataFrame, path: str, size: int = SEQUENCE, end_id: int = END_ID,
                         out[name].append(x)
             yield out
 
-    return arrow_pass(docs.select("doc_id", text, F.spark_partition_id().alias("task")), work, "doc_id bigint, start bigint, length bigint, doc_tokens bigint, ids binary, task int, number bigint", 200)
+    return arrow_pass(docs.select("doc_id", text, F.spark_partition_id().alias("task")), work, "doc_id bigint, start bigint, length bigint, doc_tokens bigint, ids binary, task int, number bigint", 500)
 
 
 def pack(docs: DataFrame, path: str, size: int = SEQUENCE, end_id: int = END_ID, text: str = "text", derive: dict[str, Column] | None = None) -> DataFrame:
