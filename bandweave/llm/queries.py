@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bandweave.llm import bpe, packing, pii, quality, simhash, toxicity, warc
+from bandweave.llm import bpe, packing, pii, quality, simhash, toxicity, warc, wrapper
 from bandweave.llm.common import arrow_pass, table, written
 
 
@@ -58,6 +58,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs.select("doc_id", "text"), model).select("doc_id", (toxicity.fold() == 0).alias("held_out"), "score", "predicted")
 
 
+def op9_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrapper.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
     said = lambda kept: f"array_join(transform(filter(pii, x -> {kept}), x -> concat_ws(':', x.kind, x.start, x.end)), ',')"
@@ -65,5 +69,5 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.expr(f"sha2({said('x.base')}, 256)").alias("base_sha256"), F.expr(said("true")).alias("spans"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op3_warc, op4_quality, op5_simhash, op6_bpe, op8_toxicity, op10_pii)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op3_warc, op4_quality, op5_simhash, op6_bpe, op8_toxicity, op9_wrapper, op10_pii)}
 ORACLE: dict[str, str] = {"op3_warc": warc.ORACLE, "op4_quality": quality.ORACLE}

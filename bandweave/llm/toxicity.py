@@ -3,7 +3,7 @@
 A word's embedding is the sum of its own bucket's and its beginning's. Filters of several widths run over the words of
 the whole text and keep their largest response (max pooling); a logistic layer reads the pooled responses. The first
 component of a bucket starts as how far its share of toxic documents exceeds what chance allows, counted on one half of
-the training rows; the rest is trained with Adam on a quarter, and calibrated on that and the last one. A last step fits, on a part_of part, a shift of the
+the training rows; the rest is trained with Adam on a quarter, and calibrated on that and the last one. A last step fits a shift of the
 logit for each language, told by function words of the text, so that 0.5 is the best threshold in each. Labels, lang,
 source and doc_id are never inputs of a score.
 
@@ -167,7 +167,7 @@ def fitted(texts: list[str | None], labels: list[int]) -> Model:
     if not len(y) or y.min() == y.max():
         return Model(np.zeros(2 * BUCKETS, np.float32))
     words = Words(texts)
-    part_of = np.arange(len(y)) % 4  # two parts count, the part_of trains, the last two calibrate
+    part_of = np.arange(len(y)) % 4  # two parts count, the third trains, the last two calibrate
     seen = np.zeros((2, 2 * BUCKETS))
     total = np.zeros(2)
     for k in np.flatnonzero(part_of < 2):
