@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bandweave.llm import bpe, packing, pii, quality, simhash, toxicity, warc, wrapper
+from bandweave.llm import bpe, ngram_join, packing, pii, quality, simhash, toxicity, warc, wrapper
 from bandweave.llm.common import arrow_pass, table, written
 
 
@@ -52,6 +52,10 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return arrow_pass(table(spark, sf_dir, "documents").select("doc_id", "text"), work, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string", 200)
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.joined(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
@@ -69,5 +73,5 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.expr(f"sha2({said('x.base')}, 256)").alias("base_sha256"), F.expr(said("true")).alias("spans"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op3_warc, op4_quality, op5_simhash, op6_bpe, op8_toxicity, op9_wrapper, op10_pii)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op3_warc, op4_quality, op5_simhash, op6_bpe, op7_ngram_join, op8_toxicity, op9_wrapper, op10_pii)}
 ORACLE: dict[str, str] = {"op3_warc": warc.ORACLE, "op4_quality": quality.ORACLE}
