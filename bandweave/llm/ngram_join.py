@@ -32,6 +32,7 @@ from pyspark.sql import types as T
 
 from bandweave.llm.common import ROOT, arrow_pass, salt_copies, salted, written
 from bandweave.llm.components import components
+from bandweave.llm.shingles import hashed_words, shingled
 
 N = 5
 #: Lists of more classes than this are long.
@@ -46,47 +47,11 @@ FEW_IDS = 1_000_000
 BLOCK = 64
 SALTS = 16
 
-_powers: dict[str, np.ndarray] = {}
-_BASE = 0x9E3779B97F4A7C15 | 1
-_STEPS = [np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
-
-
-def _stirred(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(32))
-
 
 def shingle_sets(texts: list[str | None], n: int = N) -> list[np.ndarray]:
-    """Each text's set, ascending. All texts are hashed at once: words by polynomials over their bytes, shingles from words."""
-    raw = [(t or "").encode().lower() for t in texts]  # bytes.lower() changes A to Z alone
-    flat = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
-    size = len(flat)
-    if len(_powers.get("up", ())) < size + 1:
-        up = np.full(2 * size + 1, _BASE, np.uint64)
-        up[0] = 1
-        back = np.full(2 * size + 1, pow(_BASE, -1, 1 << 64), np.uint64)
-        back[0] = 1
-        _powers["up"], _powers["back"] = np.multiply.accumulate(up), np.multiply.accumulate(back)
-    space = (flat == 32) | ((flat >= 9) & (flat <= 13))
-    edge = np.flatnonzero(np.diff(space.astype(np.int8), prepend=1))
-    starts = edge[~space[edge]]
-    ends = edge[space[edge]]
-    ends = ends[ends > starts[0]] if len(starts) else ends[:0]
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((flat.astype(np.uint64) + np.uint64(1)) * _powers["up"][:size], dtype=np.uint64)])
-    words = _stirred((total[ends] - total[starts]) * _powers["back"][starts] + (ends - starts).astype(np.uint64))
-    bounds = np.searchsorted(starts, np.cumsum([0, *(len(r) + 1 for r in raw)]))
-    out = []
-    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-        if a == b:
-            out.append(np.zeros(0, np.int64))
-            continue
-        k = min(n, b - a)
-        made = np.full(b - a - k + 1, k, np.uint64)
-        for j in range(k):
-            made = made * _STEPS[j] + words[a + j : b - k + 1 + j]
-        out.append(np.unique(_stirred(made).view(np.int64)))
-    return out
+    """Each text's set, ascending."""
+    words, bounds, _, _ = hashed_words(texts)
+    return [np.unique(shingled(words[a:b], n)) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
 
 
 def class_of(shingles: np.ndarray) -> int | None:

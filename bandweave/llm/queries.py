@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bandweave.llm import bpe, ngram_join, packing, pii, quality, simhash, toxicity, warc, wrapper
+from bandweave.llm import bpe, licenses, ngram_join, packing, pii, quality, simhash, toxicity, warc, wrapper
 from bandweave.llm.common import arrow_pass, table, written
 
 
@@ -22,6 +22,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary(), derive={"ids_crc32": F.crc32("ids")})
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc.read(warc.write(table(spark, sf_dir, "pages")), payloads=False)
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -73,5 +77,5 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.expr(f"sha2({said('x.base')}, 256)").alias("base_sha256"), F.expr(said("true")).alias("spans"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op3_warc, op4_quality, op5_simhash, op6_bpe, op7_ngram_join, op8_toxicity, op9_wrapper, op10_pii)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_licenses, op3_warc, op4_quality, op5_simhash, op6_bpe, op7_ngram_join, op8_toxicity, op9_wrapper, op10_pii)}
 ORACLE: dict[str, str] = {"op3_warc": warc.ORACLE, "op4_quality": quality.ORACLE}
