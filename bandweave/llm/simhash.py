@@ -4,7 +4,8 @@ Terms are the words of a lower-cased text and its pairs of neighbouring words, e
 the 128 bits is the sign of the weighted votes of the terms' hashes. Equal texts have equal fingerprints. A text without
 words (null, empty, white space) has the fingerprint 0.
 
-Whole texts count, whatever their length. Rows of equal doc_id, or none, follow each other by text; null ids come first.
+Whole texts count, whatever their length. Rows of equal doc_id, or none, follow each other by their compressed texts (an
+order that the texts alone decide); null ids come first.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from typing import Any
 
 import numpy as np
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -101,7 +103,7 @@ def chained(docs: DataFrame, text: str = "text") -> DataFrame:
     """Each text with the next one, by ascending doc_id (after the last: the first): n_chars, and fingerprints of the text,
     of its edited text and of the next text; edited is the edited text's SHA-256.
 
-    Texts are dealt out once, by ranges of doc_id. A range's last text waits for the next range's first: those few are kept
+    Texts are dealt out once, compressed, by ranges of doc_id. A range's last text waits for the next range's first: those few are kept
     with their texts and joined by the ranges' numbers, of which the driver knows which hold rows.
     """
     import hashlib
@@ -119,9 +121,10 @@ def chained(docs: DataFrame, text: str = "text") -> DataFrame:
         return {n: [r[n] for r in rows] for n in none}
 
     def work(parts: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
-        at, before, out = TaskContext.get().partitionId(), None, []
+        at, before, out, unpack = TaskContext.get().partitionId(), None, [], zstandard.ZstdDecompressor()
         for p in parts:
-            for doc_id, one in zip(p["doc_id"], p["text"]):
+            for doc_id, z in zip(p["doc_id"], p["z"]):
+                one = unpack.decompress(z).decode()
                 fp = fingerprint(one)
                 if before is None:
                     out.append(none | {"first": one, "range": at})
@@ -133,6 +136,11 @@ def chained(docs: DataFrame, text: str = "text") -> DataFrame:
         if before is not None:
             yield columns([none | {"doc_id": before[0], "last": before[1], "range": at}])
 
+    def small(parts: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
+        pack = zstandard.ZstdCompressor(level=1)
+        for p in parts:
+            yield {"doc_id": p["doc_id"], "z": [pack.compress(x.encode()) for x in p["text"]]}
+
     def ends(parts: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
         for p in parts:
             rows = [made(i, one, fingerprint(one), two, fingerprint(two)) for i, one, two in zip(p["doc_id"], p["last"], p["first"])]
@@ -141,7 +149,8 @@ def chained(docs: DataFrame, text: str = "text") -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select("doc_id", F.coalesce(text, F.lit("")).alias("text"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    done = written(arrow_pass(rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text"), work, schema, 500), "chained")
+    rows = arrow_pass(rows, small, "doc_id bigint, z binary")
+    done = written(arrow_pass(rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "z"), work, schema, 500), "chained")
     held = sorted(r["range"] for r in done.filter("first is not null").select("range").collect())  # one number for each range
     after = spark.createDataFrame([*zip(held, [*held[1:], *held[:1]])], "range int, next int")
     lasts = done.filter("last is not null").select("doc_id", "last", "range").join(F.broadcast(after), "range")
