@@ -417,3 +417,34 @@ def settled(docs: DataFrame, classes: DataFrame, long: DataFrame, links: DataFra
             links = written(links.unionByName(new), "links")
             labels = components(links)
             tried = 0
+
+
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """One row of each component stays, that of its smallest doc_id (null only where no other has one); rows without
+    shingles all stay. Other columns are kept. Of rows alike in doc_id and set, any one stays.
+
+    What goes is sent to the texts where it is few (FEW_IDS), and joined with them beyond that.
+    """
+    rows = written(joined(docs), "joined").filter("cls is not null")
+    best = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "cls")
+    groups = rows.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("cls")).alias("own")).agg(F.min(best).alias("best"))
+    keepers = groups.select(F.col("best.doc_id").alias("doc_id"), F.col("best.cls").alias("cls"), F.lit(True).alias("keeper"))
+    pairs = rows.groupBy("doc_id", "cls").agg(F.count("*").alias("n")).alias("p")
+    told = pairs.join(keepers.alias("k"), F.expr("p.doc_id <=> k.doc_id and p.cls = k.cls"), "left").select("p.doc_id", "p.cls", "n", "keeper")
+    odd = written(told.filter("keeper is null or n > 1"), "odd")
+    if not (n := odd.count()):
+        return docs
+    schema = docs.selectExpr("*", "0L as _cls").schema
+
+    def work(parts: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
+        for p in parts:
+            yield p | {"_cls": [*map(class_of, shingle_sets(p["text"]))]}
+
+    known = arrow_pass(docs, work, schema, 500).alias("d")
+    side = odd.select(F.col("doc_id").alias("_id"), F.col("cls").alias("_of"), F.col("keeper").alias("_keeper"))
+    marked = known.join(F.broadcast(side) if n <= FEW_IDS else side, F.expr("doc_id <=> _id and _cls = _of"), "left")
+    single = marked.filter("_of is null")
+    twice = odd.filter("keeper")
+    if twice.isEmpty():
+        return single.select(*docs.columns)
+    return single.select(*docs.columns).unionByName(marked.filter("_keeper").dropDuplicates(["doc_id", "_cls"]).select(*docs.columns))
