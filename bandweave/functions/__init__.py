@@ -1,0 +1 @@
+"""Column expressions for keys, bands, windows and rows as text."""

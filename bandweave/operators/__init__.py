@@ -1,0 +1 @@
+"""Operators on sides, windows and results."""

@@ -1,0 +1 @@
+"""Declarations of joins and the physical paths that run them."""

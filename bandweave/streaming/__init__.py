@@ -1,0 +1 @@
+"""The band join on streams."""
