@@ -72,11 +72,12 @@ def window_sizes(df: DataFrame, window: int, by: str = "side") -> DataFrame:
 
     Counts per ts are summed over time buckets of the window's width: a row sees its own bucket and the one before.
     """
-    w = min(window + 1, 1 << 62)
+    if not 0 <= window < 1 << 62:
+        raise ValueError("window must be 0 or more, and below 2^62")
     counts = df.groupBy(by, "ts").agg(F.count("*").alias("_n"))
-    spread = counts.withColumn("_home", fdiv(F.col("ts"), w))
+    spread = counts.withColumn("_home", fdiv(F.col("ts"), window + 1))
     seen = spread.withColumn("_b", F.explode(F.array(F.col("_home"), F.col("_home") + F.lit(1).cast("bigint"))))
-    frame = Window.partitionBy(by, "_b").orderBy("ts").rangeBetween(-window, Window.currentRow) if window < (1 << 62) else Window.partitionBy(by).orderBy("ts").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    frame = Window.partitionBy(by, "_b").orderBy("ts").rangeBetween(-window, Window.currentRow)
     sizes = seen.withColumn("n_live", F.sum("_n").over(frame)).where(F.col("_b") == F.col("_home")).select(by, "ts", "n_live")
     return df.join(sizes, [by, "ts"]).select(*df.columns, "n_live")
 
