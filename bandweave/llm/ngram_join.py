@@ -10,7 +10,7 @@ could reach the required overlap were it on all long lists too, and then probed
 first class of a long list is probed by all others of it, which settles groups of near copies.
 
 Long lists whose classes aren't all linked yet are taken up again: for the documents on them, shingles are ordered anew
-with frequent ones last, so that only sets made up of frequent shingles by three quarters stay on long lists. What then
+by frequency, so that only sets made up of frequent shingles by three quarters stay on long lists. What then
 is still apart is compared in blocks with all of its list. No list is cut, no class is dropped.
 
 Null and empty texts and white space have no shingles: n_shingles 0, linked with nothing. A text of fewer than five words
@@ -43,9 +43,13 @@ OFTEN = 32
 FIRST = 2
 #: Up to so many doc_ids are broadcast to fetch their texts; more are joined.
 FEW_IDS = 1_000_000
-#: So many classes of a long list are compared with all of it in one round.
+#: Up to so many pairs, and so many frequent shingles (of 16 bytes each), are broadcast.
+FEW_PAIRS, FEW_FREQUENT = 400_000, 1_000_000
+#: So many components of a long list are compared with all others of it in one round.
 BLOCK = 64
 SALTS = 16
+#: The order is cut into parts of STEP of its 2^14 grades; of the first GRADES parts it is noted how much of a set they hold.
+STEP, GRADES = 256, 24
 
 
 def shingle_sets(texts: list[str | None], n: int = N) -> list[np.ndarray]:
@@ -90,9 +94,9 @@ def unnoted(x: int) -> tuple[int, int, int]:
     return x >> 48, x >> 24 & 0xFFFFFF, x & 0xFFFFFF
 
 
-def reached(token: int, often: bool = False) -> int:
-    """A shingle's place in the common order (frequent ones last, then by hash), in 15 bits."""
-    return (1 << 14) * often + ((token + (1 << 63)) >> 50)
+def reached(token: int) -> int:
+    """A shingle's place in the first common order, by hash, in 14 bits; the second one has the frequent behind these."""
+    return (token + (1 << 63)) >> 50
 
 
 def possible(count: int, unseen: int, one: tuple[int, int, int], two: tuple[int, int, int]) -> bool:
@@ -208,7 +212,9 @@ def _lists(table: dict[str, pa.ChunkedArray]) -> dict[str, list]:
 
 def listed(index: DataFrame, often: DataFrame) -> DataFrame:
     """LISTED rows of an index (token, cls, note). often: shingles (token) whose lists are made by sums, not in one task."""
-    rare = index.join(often, "token", "left_anti").repartition("token").sortWithinPartitions("token")
+    few = often.count() <= FEW_IDS
+    # Dealt by a hash of the key: a plan that deals by the key itself may be merged with the join's and then be read as it lies.
+    rare = index.join(F.broadcast(often) if few else often, "token", "left_anti").repartition(F.xxhash64("token")).sortWithinPartitions("token")
     some = _grouped(rare, "token", _lists, LISTED)
     hot = salted(index, SALTS).join(salt_copies(often, SALTS), ["token", "_salt"]).drop("_salt")
     heads = hot.groupBy("token").agg(F.min(F.struct("cls", "note")).alias("head"), F.max("cls").alias("top")).filter("head.cls < top")
@@ -255,7 +261,7 @@ def _candidates(table: dict[str, pa.ChunkedArray]) -> dict[str, list]:
 
 def candidates(rows: DataFrame) -> DataFrame:
     """CANDIDATE rows of LISTED rows. Of one class there are as many as indexed shingles it shares."""
-    return _grouped(rows.repartition("x").sortWithinPartitions("x"), "x", _candidates, CANDIDATE)
+    return _grouped(rows.repartition(F.xxhash64("x")).sortWithinPartitions("x"), "x", _candidates, CANDIDATE)
 
 
 def fetched(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -275,12 +281,22 @@ def fetched(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame
             kept = [(c, s.tobytes()) for s, of in zip(sets, p["of"]) if (c := class_of(s)) is not None and of in (None, c)]
             yield {"cls": [c for c, _ in kept], "set": [s for _, s in kept]}
 
-    made = arrow_pass(rows.unionByName(without), work, "cls bigint, set binary", 500)
+    made = arrow_pass(rows.unionByName(without), work, "cls bigint, set binary", 100)
     nulls = made.join(ids.filter("doc_id is null").select("cls").distinct(), "cls", "left_semi") if not ids.filter("doc_id is null").isEmpty() else None
-    known = arrow_pass(rows, work, "cls bigint, set binary", 500)
+    known = arrow_pass(rows, work, "cls bigint, set binary", 100)
     return written((known if nulls is None else known.unionByName(nulls)).groupBy("cls").agg(F.any_value("set").alias("set")), "sets")
 
 
+def with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """x, y and both sets (a, b). Of sets, those that few pairs ask for are picked first, and no others are dealt out."""
+    pairs = written(pairs.select("x", "y"), "pairs")
+    one, two = sets.select(F.col("cls").alias("x"), F.col("set").alias("a")), sets.select(F.col("cls").alias("y"), F.col("set").alias("b"))
+    if pairs.count() <= FEW_PAIRS:
+        two = two.join(F.broadcast(pairs.select("y").distinct()), "y", "left_semi")
+        return one.join(F.broadcast(pairs), "x").join(two, "y")
+    return pairs.join(one, "x").join(two, "y")
+
+
 def probed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those pairs (x, y) of classes whose sets are similar enough."""
 
@@ -289,8 +305,7 @@ def probed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             good = [(x, y) for x, y, a, b in zip(p["x"], p["y"], p["a"], p["b"]) if linked(np.frombuffer(a, np.int64), np.frombuffer(b, np.int64))]
             yield {"x": [g[0] for g in good], "y": [g[1] for g in good]}
 
-    both = pairs.select("x", "y").join(sets.select(F.col("cls").alias("x"), F.col("set").alias("a")), "x").join(sets.select(F.col("cls").alias("y"), F.col("set").alias("b")), "y")
-    return arrow_pass(both, work, "x bigint, y bigint", 500)
+    return arrow_pass(with_sets(pairs, sets).select("x", "y", "a", "b"), work, "x bigint, y bigint", 500)
 
 
 def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -301,14 +316,15 @@ def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def indexed(docs: DataFrame) -> DataFrame:
-    """For each row of docs: doc_id, n, cls, and, where the task meets a class for the first time, its prefix (tokens) and
-    how far it reaches (last). Further rows, without n, hold shingles that a task met OFTEN."""
+    """For each row of docs: doc_id, n, cls, and, where the task meets a class for the first time, its prefix (tokens), how
+    far it reaches (last), and how many of its shingles come before each STEP of the order (steps). Further rows, without n, hold shingles that a task met OFTEN."""
 
     def work(parts: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
         met: set[int] = set()
+        bounds = [(k * STEP << 50) - (1 << 63) for k in range(1, GRADES + 1)]
         kept = [np.zeros(0, np.int64)]
         for p in parts:
-            out: dict[str, list] = {"doc_id": p["doc_id"], "n": [], "cls": [], "tokens": [], "last": [], "often": [None] * len(p["doc_id"])}
+            out: dict[str, list] = {"doc_id": p["doc_id"], "n": [], "cls": [], "tokens": [], "last": [], "steps": [], "often": [None] * len(p["doc_id"])}
             for s in shingle_sets(p["text"]):
                 c = class_of(s)
                 new = c is not None and c not in met
@@ -320,14 +336,15 @@ def indexed(docs: DataFrame) -> DataFrame:
                 out["cls"].append(c)
                 out["tokens"].append(tokens)
                 out["last"].append(reached(int(tokens[-1])) if new else None)
+                out["steps"].append(np.searchsorted(tokens, bounds).tolist() if new else None)
             yield out
         tokens, counts = np.unique(np.concatenate(kept), return_counts=True)
         many = tokens[counts >= OFTEN]
         if len(many):
             none = [None] * len(many)
-            yield {"doc_id": none, "n": none, "cls": none, "tokens": none, "last": none, "often": many.tolist()}
+            yield {"doc_id": none, "n": none, "cls": none, "tokens": none, "last": none, "steps": none, "often": many.tolist()}
 
-    return written(arrow_pass(docs.select("doc_id", "text"), work, "doc_id bigint, n bigint, cls bigint, tokens array<bigint>, last int, often bigint", 500), "indexed")
+    return written(arrow_pass(docs.select("doc_id", "text"), work, "doc_id bigint, n bigint, cls bigint, tokens array<bigint>, last int, steps array<int>, often bigint", 100), "indexed")
 
 
 def note_of(last: str, n: str, place: str) -> F.Column:
@@ -340,7 +357,7 @@ def joined(docs: DataFrame) -> DataFrame:
     known = rows.filter("n is not null")
     classes = known.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
     index = known.filter("tokens is not null").select("cls", "n", "last", F.posexplode("tokens").alias("place", "token")).select("token", "cls", note_of("last", "n", "place").alias("note"))
-    often = rows.filter("often is not null").select(F.col("often").alias("token")).distinct()
+    often = written(rows.filter("often is not null").select(F.col("often").alias("token")).distinct(), "often")
     lists = written(listed(index, often), "lists")
     found = written(candidates(lists), "candidates")
 
@@ -352,7 +369,7 @@ def joined(docs: DataFrame) -> DataFrame:
     links = written(links.unionByName(probed(apart(found.filter(F.col("place") >= FIRST), labels), sets)), "links")
     labels = components(links)
 
-    links, labels = settled(docs, classes, long, links, labels)
+    links, labels = settled(docs, classes, known, long, links, labels)
 
     names = labels.join(classes, labels["x"] == classes["cls"]).select("cls", "label", "doc_id")
     least = names.groupBy("label").agg(F.min("doc_id").alias("least"))
@@ -369,56 +386,156 @@ def unsettled(long: DataFrame, labels: DataFrame) -> DataFrame:
     return salted(named, SALTS).join(salt_copies(open_lists, SALTS), ["token", "_salt"]).drop("_salt")
 
 
-def settled(docs: DataFrame, classes: DataFrame, long: DataFrame, links: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """links and labels with those between classes that share shingles of long lists alone."""
-    rest = written(unsettled(long, labels), "rest")
-    if rest.isEmpty():
-        return links, labels
-    # All shingles of these classes, frequent ones last.
-    sets = fetched(docs, classes, rest)
+def narrowed(rest: DataFrame, known: DataFrame) -> DataFrame:
+    """Of open lists (token, cls): the rows of classes that could be similar to one they share such lists with alone.
 
-    def work(parts: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
+    Let two such sets differ in component. Up to where the first of their prefixes ends, what either has beside its long
+    shingles is missing in the other; it may miss no more than its size less the required overlap. Sizes go by steps of the
+    fourth root of 4/3. For each list and step it is known how early a prefix ends there; a class offers itself to the steps
+    whose sets it could be similar to by its own shingles, and stays where one of such a step offers itself to its own.
+    """
+    mine = rest.groupBy("cls").agg(F.count("*").alias("long"))
+    info = known.filter("tokens is not null").groupBy("cls").agg(F.any_value(F.struct("n", "last", "steps")).alias("i")).select("cls", "i.*")
+    info = info.join(mine, "cls").withColumn("size", F.floor(4 * F.log("n") / F.log(F.lit(4 / 3)) + 1e-9).cast("int"))
+    rows = written(rest.select("token", "cls").join(info, "cls"), "sized")
+    firsts = rows.groupBy("token", "size").agg(F.min("last").alias("least"), F.min("n").alias("lowest"), F.max("n").alias("highest"))
+    firsts = firsts.groupBy("token").agg(F.collect_list(F.struct("size", "least", "lowest", "highest")).alias("there"))  # a row for each step of sizes
+    # how much of a prefix comes before the end of another that ends at x.least at the earliest
+    before = f"if(x.least >= last or x.least >= {GRADES * STEP}, if(x.least >= last, n - floor((3 * n + 3) / 4) + 1, element_at(steps, {GRADES})), if(x.least < {STEP}, 0, element_at(steps, cast(floor(greatest(x.least, {STEP}) / {STEP}) as int))))"
+    other = "greatest(x.lowest, cast(ceil(3 * n / 4) as bigint))"
+    could = f"4 * x.highest >= 3 * n and 3 * x.lowest <= 4 * n and {before} - long <= n - floor((3 * (n + {other}) + 6) / 7)"
+    told = salted(rows, SALTS).join(salt_copies(firsts, SALTS), ["token", "_salt"])
+    offers = written(told.select("token", "cls", "size", F.explode(F.expr(f"transform(filter(there, x -> {could}), x -> x.size)")).alias("to")), "offers")
+    answers = offers.select("token", F.col("to").alias("size"), F.col("size").alias("to")).distinct()
+    return salted(offers, SALTS).join(salt_copies(answers, SALTS), ["token", "size", "to", "_salt"]).select("token", "cls").distinct()
+
+
+def reordered(sets: DataFrame) -> DataFrame:
+    """The index (token, cls, note, often) of sets in the order of how many of them have a shingle: up to SHORT count as none."""
+
+    def tokens(parts: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
+        for p in parts:
+            arrays = [np.frombuffer(s, np.int64) for s in p["set"]]
+            yield {"token": np.concatenate(arrays) if arrays else []}
+
+    counts = arrow_pass(sets.select("set"), tokens, "token bigint", 200).groupBy("token").agg(F.count("*").alias("often"))
+    frequent = written(counts.filter(F.col("often") > SHORT), "frequent")
+    if frequent.count() <= FEW_FREQUENT:
+        rows = frequent.toPandas().sort_values("token")
+        known, often = rows["token"].to_numpy(np.int64), rows["often"].to_numpy(np.int64)
+
+        def work(parts: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
+            for p in parts:
+                out: dict[str, list] = {"token": [], "cls": [], "note": [], "often": []}
+                for c, raw in zip(p["cls"], p["set"]):
+                    s = np.frombuffer(raw, np.int64)
+                    many = np.zeros(len(s), np.int64)
+                    if len(known):
+                        at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+                        many = np.where(known[at] == s, often[at], 0)
+                    head = np.lexsort((s, many))[: prefix(len(s))]
+                    token, many = s[head], many[head]
+                    far = 16384 + min(16383, int(500 * np.log2(many[-1]))) if many[-1] else reached(int(token[-1]))
+                    out["token"] += token.tolist()
+                    out["cls"] += [c] * len(head)
+                    out["note"] += ((far << 48) | (len(s) << 24) | np.arange(len(head))).tolist()
+                    out["often"] += many.tolist()
+                yield out
+
+        return arrow_pass(sets.select("cls", "set"), work, "token bigint, cls bigint, note bigint, often bigint", 200)
+
+    def spread(parts: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
         for p in parts:
             arrays = [np.frombuffer(s, np.int64) for s in p["set"]]
-            yield {"cls": np.repeat(np.array(p["cls"], np.int64), [*map(len, arrays)]), "n": np.repeat([*map(len, arrays)], [*map(len, arrays)]), "token": np.concatenate(arrays) if arrays else []}
+            sizes = [*map(len, arrays)]
+            yield {"cls": np.repeat(np.array(p["cls"], np.int64), sizes), "n": np.repeat(sizes, sizes), "token": np.concatenate(arrays) if arrays else []}
 
-    tokens = written(arrow_pass(sets, work, "cls bigint, n bigint, token bigint", 200), "tokens")
-    frequent = tokens.groupBy("token").count().filter(F.col("count") > SHORT).select("token", F.lit(True).alias("often"))
-    flagged = salted(tokens, SALTS).join(salt_copies(frequent, SALTS), ["token", "_salt"], "left").select("cls", "n", "token", F.coalesce("often", F.lit(False)).alias("often"))
-    order = Window.partitionBy("cls").orderBy("often", "token")
-    placed = flagged.withColumn("place", F.row_number().over(order) - 1)
+    each = salted(arrow_pass(sets.select("cls", "set"), spread, "cls bigint, n bigint, token bigint", 200), SALTS)
+    flagged = each.join(salt_copies(frequent, SALTS), ["token", "_salt"], "left").select("cls", "n", "token", F.coalesce("often", F.lit(0)).alias("often"))
+    placed = flagged.withColumn("place", F.row_number().over(Window.partitionBy("cls").orderBy("often", "token")) - 1)
     head = placed.filter("place < n - floor((3 * n + 3) / 4) + 1")
-    at = "(case when often then 16384 else 0 end) + cast(shiftrightunsigned(token + (-9223372036854775807L - 1L), 50) as int)"
-    index = head.withColumn("_at", F.expr(at.replace("token + (-9223372036854775807L - 1L)", "token ^ (-9223372036854775807L - 1L)")))
-    last = index.groupBy("cls").agg(F.max("_at").alias("last"))
-    index = written(index.join(last, "cls").select("token", "cls", note_of("last", "n", "place").alias("note"), "often"), "index")
-    lists = written(listed(index.select("token", "cls", "note"), index.filter("often").select("token").distinct()), "lists")
+    at = "case when often > 0 then 16384 + least(16383, cast(floor(500 * log2(often)) as int)) else cast(shiftrightunsigned(token ^ (-9223372036854775807L - 1L), 50) as int) end"
+    last = F.max("_at").over(Window.partitionBy("cls"))
+    return head.withColumn("_at", F.expr(at)).withColumn("last", last).select("token", "cls", note_of("last", "n", "place").alias("note"), "often")
+
+
+def settled(docs: DataFrame, classes: DataFrame, known: DataFrame, long: DataFrame, links: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """links and labels with those between classes that share shingles of long lists alone."""
+    rest = written(narrowed(written(unsettled(long, labels), "open"), known), "rest")
+    if rest.isEmpty():
+        return links, labels
+    # All shingles of these classes, the more frequent the later.
+    sets = fetched(docs, classes, rest)
+    index = written(reordered(sets), "index")
+    lists = written(listed(index.select("token", "cls", "note"), written(index.groupBy("token").count().filter(F.col("count") > SHORT).select("token"), "often")), "lists")
     found = apart(candidates(lists), labels)
     links = written(links.unionByName(probed(found, sets)), "links")
     labels = components(links)
-    # Sets that consist of frequent shingles by three quarters: classes off their list's largest component meet all of it.
+    # What is left are sets of which three quarters are frequent shingles.
     long = lists.filter("token is not null").select("token", F.col("x").alias("cls")).distinct()
     tried = 0
     while True:
-        rest = written(unsettled(long, labels), "rest")
-        sizes = rest.groupBy("token", "label").agg(F.count("*").alias("n"))
-        main = sizes.groupBy("token").agg(F.max(F.struct("n", "label")).alias("m")).select("token", F.col("m.label").alias("main"))
-        others = rest.join(main, "token").filter("label <> main").withColumn("rank", F.row_number().over(Window.partitionBy("token").orderBy("cls")))
-        block = others.filter((F.col("rank") > tried) & (F.col("rank") <= tried + BLOCK)).select("token", F.col("cls").alias("x"), F.col("label").alias("of"))
-        pairs = written(block.join(rest.select("token", F.col("cls").alias("y"), "label"), "token").filter("of <> label").select("x", "y").distinct(), "pairs")
+        pairs = written(doubtful(long, labels, sets, tried), "pairs")
         if pairs.isEmpty():
             return links, labels
-        size = sets.select(F.col("cls").alias("c"), (F.length("set") / 8).alias("size"))
-        pairs = pairs.join(size.toDF("x", "a"), "x").join(size.toDF("y", "b"), "y").filter("4 * least(a, b) >= 3 * greatest(a, b)").select("x", "y")
-        new = written(probed(pairs, sets), "links")
-        if new.isEmpty():
-            tried += BLOCK
-        else:  # what is linked now leaves others; those left start again
+        new = written(probed(apart(members(pairs, long, labels), labels), sets), "links")
+        tried += BLOCK
+        if not new.isEmpty():
             links = written(links.unionByName(new), "links")
             labels = components(links)
             tried = 0
 
 
+def distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """x, y and the Jaccard distance of their sets."""
+
+    def work(parts: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
+        for p in parts:
+            far = []
+            for a, b in zip(p["a"], p["b"]):
+                one, two = np.frombuffer(a, np.int64), np.frombuffer(b, np.int64)
+                both = len(np.intersect1d(one, two, assume_unique=True))
+                far.append(1 - both / (len(one) + len(two) - both))
+            yield {"x": p["x"], "y": p["y"], "far": far}
+
+    return arrow_pass(with_sets(pairs, sets).select("x", "y", "a", "b"), work, "x bigint, y bigint, far double", 500)
+
+
+def doubtful(long: DataFrame, labels: DataFrame, sets: DataFrame, tried: int) -> DataFrame:
+    """Pairs (x, y) of components on one long list that may hold similar sets, by the distance of their first members.
+
+    A component's reach is the largest distance of its members on lists from the first of them. As the Jaccard distance keeps
+    the triangle's inequality, sets of two components aren't similar where the first members are farther apart than 1/4
+    and both reaches. Components other than a list's largest are taken in blocks, from rank tried on.
+    """
+    rest = written(unsettled(long, labels), "open")
+    heads = rest.groupBy("label").agg(F.min("cls").alias("head"))
+    held = rest.select("cls", "label").distinct().join(heads, "label")
+    reach = distances(held.select(F.col("cls").alias("x"), F.col("head").alias("y")), sets)
+    reach = reach.groupBy(F.col("y").alias("head")).agg(F.max("far").alias("reach"))
+    sizes = sets.select(F.col("cls").alias("head"), (F.length("set") / 8).alias("n"))
+    known = written(heads.join(reach, "head").join(sizes, "head").select("label", "head", "reach", "n"), "heads")
+    on = written(rest.groupBy("token", "label").agg(F.count("*").alias("many")).join(known, "label"), "on")
+    main = on.groupBy("token").agg(F.max(F.struct("many", "label")).alias("m")).select("token", F.col("m.label").alias("main"))
+    order = Window.partitionBy("token").orderBy("label")
+    others = on.join(main, "token").filter("label <> main").withColumn("rank", F.row_number().over(order))
+    block = others.filter((F.col("rank") > tried) & (F.col("rank") <= tried + BLOCK)).select("token", F.col("head").alias("x"), F.col("label").alias("of"), F.col("reach").alias("r"), F.col("n").alias("m"))
+    # sets that differ in size by more than the bound are farther apart than it
+    near = F.expr("of <> label and 1 - least(n, m) / greatest(n, m) <= 0.25 + r + reach + 1e-9")
+    pairs = block.join(on, "token").filter(near).select("x", F.col("head").alias("y"), (F.col("r") + F.col("reach")).alias("both")).distinct()
+    return distances(pairs, sets).join(pairs, ["x", "y"]).filter("far <= 0.25 + both + 1e-9").select("x", "y").distinct()
+
+
+def members(pairs: DataFrame, long: DataFrame, labels: DataFrame) -> DataFrame:
+    """All pairs of members on lists of pairs (x, y) of components' first members, where they share a list."""
+    named = long.join(labels.select(F.col("x").alias("cls"), "label"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    of = named.select("cls", "label").distinct()
+    by = pairs.join(of.toDF("x", "a"), "x").join(of.toDF("y", "b"), "y").select("a", "b").distinct()
+    one = named.select("token", F.col("cls").alias("x"), F.col("label").alias("a"))
+    two = named.select("token", F.col("cls").alias("y"), F.col("label").alias("b"))
+    return one.join(by, "a").join(two, ["token", "b"]).select("x", "y").distinct()
+
+
 def deduplicated(docs: DataFrame) -> DataFrame:
     """One row of each component stays, that of its smallest doc_id (null only where no other has one); rows without
     shingles all stay. Other columns are kept. Of rows alike in doc_id and set, any one stays.
@@ -434,7 +551,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     odd = written(told.filter("keeper is null or n > 1"), "odd")
     if not (n := odd.count()):
         return docs
-    schema = docs.selectExpr("*", "0L as _cls").schema
+    schema = docs.selectExpr("*", "cast(null as bigint) as _cls").schema
 
     def work(parts: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
         for p in parts:
