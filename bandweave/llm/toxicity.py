@@ -7,7 +7,7 @@ the training rows; the rest is trained with Adam on a quarter, and calibrated on
 logit for each language, told by function words of the text, so that 0.5 is the best threshold in each. Labels, lang,
 source and doc_id are never inputs of a score.
 
-The model is fitted on the driver, on at most TRAIN_ROWS labelled rows and TRAIN_CHARS characters, chosen by a hash of
+The model is fitted in one task, on at most TRAIN_ROWS labelled rows and TRAIN_CHARS characters, chosen by a hash of
 doc_id; every row is scored, over its whole text. Without labelled rows the score is 0.5 less a little for all. Null and
 empty texts are scored by the model's bias alone. Repeated rows are scored alike; labels of unknown documents and null
 labels count for nothing; input columns named like the outputs are replaced.
@@ -15,6 +15,7 @@ labels count for nothing; input columns named like the outputs are replaced.
 
 from __future__ import annotations
 
+import pickle
 import re
 import zlib
 from collections.abc import Iterator
@@ -200,8 +201,14 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, chars: int =
     # At most about `rows` rows of a few bytes each are broadcast.
     sample = written(docs.select("doc_id", "text").join(F.broadcast(known.filter(F.col("part") < share)), "doc_id"), "labelled")
     size = sample.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
-    found = sample.filter(F.col("part") < share * min(1.0, chars / max(1, size))).select("doc_id", "text", "toxic").orderBy("doc_id", "toxic").toPandas()
-    return fitted(found["text"].tolist(), found["toxic"].tolist())
+    some = sample.filter(F.col("part") < share * min(1.0, chars / max(1, size))).select("doc_id", "text", "toxic")
+
+    def work(parts: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
+        rows = sorted((x for p in parts for x in zip(p["doc_id"], p["toxic"], p["text"])), key=lambda x: (x[0], x[1], x[2] or ""))
+        yield {"model": [pickle.dumps(fitted([x[2] for x in rows], [x[1] for x in rows]))]}
+
+    made = arrow_pass(some.repartition(1), work, "model binary").collect()  # a few MB, whatever the number of rows
+    return pickle.loads(made[0]["model"]) if made else fitted([], [])
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
