@@ -112,11 +112,11 @@ class Codec:
         for (a, b), c in self.pairs.items():
             self.left[c], self.right[c] = a, b
         self.pair = Lookup(np.array([a * n + b for a, b in self.pairs], np.int64), np.array([*self.pairs.values()], np.int64))
-        self.longest = max(map(len, self.ids))
         self.size = np.array([*map(len, self.bytes)])
         self.single = np.array([self.ids[bytes((b,))] for b in range(256)])
-        known = [(t, i) for t, i in self.ids.items() if len(t) <= SHORT]
-        self.token = Lookup(np.array([self.key(np.frombuffer(t, np.uint8)) for t, _ in known]), np.array([i for _, i in known]))
+        # what tokens begin with, and of what is a token itself its id; beginnings alone have the number n
+        begun = {t[:k]: n for t in self.ids if len(t) <= SHORT for k in range(1, len(t))} | {t: i for t, i in self.ids.items() if len(t) <= SHORT}
+        self.begun = Lookup(self.keys([*begun]), np.array([*begun.values()]))
         self.own: dict[int, bool] = {}
         self.text = [str(i) for i in range(n)]
         self.kept: dict[str, bytes] = {}  # ids as little-endian unsigned 32-bit integers
@@ -129,11 +129,14 @@ class Codec:
             return keys * 256 + byte + (1 << 48)
         return (keys * np.int64(0x2545F4914F6CDD1D) + byte + length) & np.int64(0x7FFFFFFFFFFFFFFF)
 
-    def key(self, token: np.ndarray) -> int:
-        keys = np.zeros(1, np.int64)
-        for length, b in enumerate(token.astype(np.int64), 1):
-            keys = self.grown(keys, b, length)
-        return int(keys[0])
+    def keys(self, strings: list[bytes]) -> np.ndarray:
+        sizes = np.array([*map(len, strings)])
+        flat = np.frombuffer(b"".join(strings), np.uint8).astype(np.int64)
+        starts, keys = np.cumsum(sizes) - sizes, np.zeros(len(strings), np.int64)
+        for length in range(1, sizes.max(initial=0) + 1):
+            on = np.flatnonzero(sizes >= length)
+            keys[on] = self.grown(keys[on], flat[starts[on] + length - 1], length)
+        return keys
 
     # speculation
 
@@ -142,24 +145,24 @@ class Codec:
         flat = np.frombuffer(b"".join(words), np.uint8).astype(np.int64)
         ends = np.cumsum([*map(len, words)])
         starts = np.concatenate([[0], ends[:-1]])
-        room = np.repeat(ends, ends - starts) - np.arange(len(flat))
-        best, size, at, keys = np.full(len(flat), -1), np.ones(len(flat), np.int64), np.arange(len(flat)), np.zeros(len(flat), np.int64)
-        for length in range(1, min(self.longest, SHORT) + 1):
-            enough = room[at] >= length
-            at, keys = at[enough], keys[enough]
-            if not len(at):
-                break
-            keys = self.grown(keys, flat[at + length - 1], length)
-            found = self.token(keys)
-            hit = found >= 0
-            best[at[hit]], size[at[hit]] = found[hit], length
-        tokens, owners, at, owner = [], [], starts, np.arange(len(words))
+        n, tokens, owners, at, owner = len(self.bytes), [], [], starts, np.arange(len(words))
         while len(at):
-            tokens.append(best[at])
+            best, size, room = np.zeros(len(at), np.int64), np.ones(len(at), np.int64), ends[owner] - at
+            on, keys = np.arange(len(at)), np.zeros(len(at), np.int64)
+            for length in range(1, SHORT + 1):
+                keys = self.grown(keys, flat[at[on] + length - 1], length)
+                found = self.begun(keys)
+                hit = (found >= 0) & (found < n)
+                best[on[hit]], size[on[hit]] = found[hit], length
+                more = (found >= 0) & (room[on] > length)
+                on, keys = on[more], keys[more]
+                if not len(on):
+                    break
+            tokens.append(best)
             owners.append(owner)
-            at = at + size[at]
-            on = at < ends[owner]
-            at, owner = at[on], owner[on]
+            at = at + size
+            left = at < ends[owner]
+            at, owner = at[left], owner[left]
         tokens, owners = np.concatenate(tokens), np.concatenate(owners)
         order = np.argsort(owners, kind="stable")
         return tokens[order], owners[order]
