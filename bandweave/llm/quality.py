@@ -1,8 +1,8 @@
 """Quality rules by document and by host, in DataFrame expressions alone.
 
 Each document gets counts and rule failures of its whole text. A host's (here: source's) failure rate of each rule is
-shrunk towards the rate of all hosts with a beta prior fitted to the hosts' rates by their moments, so that hosts of few
-documents aren't judged by chance. A host fails when a shrunk rate exceeds MOST; its verdict is joined back to its
+shrunk towards the mean of the hosts' rates with a beta prior fitted to these rates by their moments, less what sampling adds
+to them, so that hosts of few documents aren't judged by chance and the prior doesn't gain weight with others' documents. A host fails when a shrunk rate exceeds MOST; its verdict is joined back to its
 documents. Counts are summed per task before they are dealt out, and a host's verdict is joined with salts, so that one
 host may have any share of the rows.
 
@@ -65,14 +65,14 @@ def host_verdicts(rows: DataFrame, host: str = "source") -> DataFrame:
     """One row per host (nulls left out): n_docs, the shrunk rate of each rule, and host_failed. rows: what features() gives."""
     named = [F.sum(F.expr(rule).cast("long")).alias(f"f_{n}") for n, rule in RULES.items()]
     hosts = rows.filter(F.col(host).isNotNull()).groupBy(F.col(host).alias("host")).agg(F.count("*").alias("n_docs"), *named)
-    total = hosts.agg(F.sum("n_docs").alias("all_docs"), *[F.sum(f"f_{n}").alias(f"all_{n}") for n in RULES])
-    hosts = hosts.join(F.broadcast(total))  # one row
-    spread = hosts.agg(*[F.sum(F.expr(f"n_docs * pow(f_{n} / n_docs - all_{n} / all_docs, 2) / all_docs")).alias(f"v_{n}") for n in RULES])
-    hosts = hosts.join(F.broadcast(spread))  # one row
+    # A host weighs 1 - 1 / n_docs, so never more than 1, and its sampling variance is taken off.
+    means = [F.expr(f"coalesce(try_divide(sum((1 - 1 / n_docs) * f_{n} / n_docs), sum(1 - 1 / n_docs)), sum(f_{n}) / sum(n_docs))").alias(f"m_{n}") for n in RULES]
+    hosts = hosts.join(F.broadcast(hosts.agg(*means)))  # one row
+    between = [F.expr(f"try_divide(sum((1 - 1 / n_docs) * (pow(f_{n} / n_docs - m_{n}, 2) - m_{n} * (1 - m_{n}) / n_docs)), sum(pow(1 - 1 / n_docs, 2) * m_{n} * (1 - m_{n})))").alias(f"s_{n}") for n in RULES]
+    hosts = hosts.join(F.broadcast(hosts.agg(*between)))  # one row
     for n in RULES:
-        mean = f"all_{n} / all_docs"
-        weight = f"greatest({LEAST_WEIGHT}D, least({MOST_WEIGHT}D, coalesce(try_divide({mean} * (1 - {mean}), v_{n}) - 1, {MOST_WEIGHT}D)))"
-        hosts = hosts.withColumn(f"rate_{n}", F.expr(f"(f_{n} + {mean} * {weight}) / (n_docs + {weight})"))
+        weight = f"greatest({LEAST_WEIGHT}D, least({MOST_WEIGHT}D, case when s_{n} > 0 then 1 / s_{n} - 1 else {MOST_WEIGHT}D end))"
+        hosts = hosts.withColumn(f"rate_{n}", F.expr(f"(f_{n} + m_{n} * {weight}) / (n_docs + {weight})"))
     return hosts.select("host", "n_docs", *[f"rate_{n}" for n in RULES], F.expr(" or ".join(f"rate_{n} > {MOST}" for n in RULES)).alias("host_failed"))
 
 

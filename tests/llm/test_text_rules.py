@@ -42,6 +42,12 @@ def test_hosts(docs):
     assert quality.judged(empty, quality.host_verdicts(empty)).isEmpty()
 
 
+@pytest.mark.parametrize("others", [40, 4000])
+def test_a_host_is_judged_alike_beside_any_number_of_documents(spark, others):
+    rows = spark.range(10 + others).selectExpr("if(id < 10, 'bad', 'other') as source", "if(id < 10 or id % 10 = 0, 5L, 20L) as n_words", "0L as n_repeat_words", "0L as n_symbols", "80L as word_chars", "0L as n_dup_lines", "1L as n_lines")
+    assert {r["host"]: r["host_failed"] for r in quality.host_verdicts(rows).collect()} == {"bad": True, "other": False}
+
+
 def test_quality_is_native(docs):
     rows = quality.features(docs(["a"], source=["s"]))
     plan = quality.judged(rows, quality.host_verdicts(rows))._jdf.queryExecution().toString()
