@@ -45,7 +45,7 @@ FIRST = 2
 FEW_IDS = 1_000_000
 #: Up to so many pairs, and so many frequent shingles (of 16 bytes each), are broadcast.
 FEW_PAIRS, FEW_FREQUENT = 400_000, 1_000_000
-#: So many components of a long list are compared with all others of it in one round.
+#: So many components of a long list, or more, are compared with all others of it in one round; rounds go on to the last.
 BLOCK = 64
 SALTS = 16
 #: The order is cut into parts of STEP of its 2^14 grades; of the first GRADES parts it is noted how much of a set they hold.
@@ -471,19 +471,20 @@ def settled(docs: DataFrame, classes: DataFrame, known: DataFrame, long: DataFra
     found = apart(candidates(lists), labels)
     links = written(links.unionByName(probed(found, sets)), "links")
     labels = components(links)
-    # What is left are sets of which three quarters are frequent shingles.
-    long = lists.filter("token is not null").select("token", F.col("x").alias("cls")).distinct()
-    tried = 0
-    while True:
-        pairs = written(doubtful(long, labels, sets, tried), "pairs")
-        if pairs.isEmpty():
-            return links, labels
-        new = written(probed(apart(members(pairs, long, labels), labels), sets), "links")
-        tried += BLOCK
+    # What is left are sets of which three quarters are frequent shingles. One pass over the components as they are now
+    # meets any two that share a list; links found on the way only spare pairs.
+    long = written(lists.filter("token is not null").select("token", F.col("x").alias("cls")).distinct(), "long")
+    first = labels
+    on = written(ranked(long, first, sets), "on")
+    for after, last in rounds(on):
+        pairs = written(doubtful(on, sets, after, last), "pairs")
+        if pairs.isEmpty():  # no pair among these ranks; later ones may have some
+            continue
+        new = written(probed(apart(members(apart(pairs, labels), long, first), labels), sets), "links")
         if not new.isEmpty():
             links = written(links.unionByName(new), "links")
             labels = components(links)
-            tried = 0
+    return links, labels
 
 
 def distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -501,12 +502,11 @@ def distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return arrow_pass(with_sets(pairs, sets).select("x", "y", "a", "b"), work, "x bigint, y bigint, far double", 500)
 
 
-def doubtful(long: DataFrame, labels: DataFrame, sets: DataFrame, tried: int) -> DataFrame:
-    """Pairs (x, y) of components on one long list that may hold similar sets, by the distance of their first members.
+def ranked(long: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+    """The components on each open list (token, label) with head, reach, n and rank: 0 for a list's largest one.
 
-    A component's reach is the largest distance of its members on lists from the first of them. As the Jaccard distance keeps
-    the triangle's inequality, sets of two components aren't similar where the first members are farther apart than 1/4
-    and both reaches. Components other than a list's largest are taken in blocks, from rank tried on.
+    A component's head is the first of its members on lists, n the size of its set, and its reach the largest distance of a
+    member from it.
     """
     rest = written(unsettled(long, labels), "open")
     heads = rest.groupBy("label").agg(F.min("cls").alias("head"))
@@ -517,11 +517,32 @@ def doubtful(long: DataFrame, labels: DataFrame, sets: DataFrame, tried: int) ->
     known = written(heads.join(reach, "head").join(sizes, "head").select("label", "head", "reach", "n"), "heads")
     on = written(rest.groupBy("token", "label").agg(F.count("*").alias("many")).join(known, "label"), "on")
     main = on.groupBy("token").agg(F.max(F.struct("many", "label")).alias("m")).select("token", F.col("m.label").alias("main"))
-    order = Window.partitionBy("token").orderBy("label")
-    others = on.join(main, "token").filter("label <> main").withColumn("rank", F.row_number().over(order))
-    block = others.filter((F.col("rank") > tried) & (F.col("rank") <= tried + BLOCK)).select("token", F.col("head").alias("x"), F.col("label").alias("of"), F.col("reach").alias("r"), F.col("n").alias("m"))
+    order = Window.partitionBy("token").orderBy(F.col("label") != F.col("main"), "label")
+    return on.join(main, "token").withColumn("rank", F.row_number().over(order) - 1).select("token", "label", "head", "reach", "n", "rank")
+
+
+def rounds(on: DataFrame) -> list[tuple[int, int]]:
+    """Ranges of rank (after, up to) that together hold every rank above 0: BLOCK each, or more up to FEW_PAIRS pairs."""
+    blocks = on.filter("rank > 0").groupBy(F.floor((F.col("rank") - 1) / BLOCK).alias("block")).agg(F.sum("rank").alias("pairs")).orderBy("block").collect()
+    out, after, held = [], 0, 0
+    for block, pairs in blocks:
+        if held and held + pairs > FEW_PAIRS:
+            out.append((after, block * BLOCK))
+            after, held = block * BLOCK, 0
+        held += pairs
+    return [*out, (after, (blocks[-1][0] + 1) * BLOCK)] if blocks else []
+
+
+def doubtful(on: DataFrame, sets: DataFrame, after: int, last: int) -> DataFrame:
+    """Pairs (x, y) of components on one long list that may hold similar sets, by the distance of their heads: those of a
+    rank above after and up to last with all of lower rank.
+
+    As the Jaccard distance keeps the triangle's inequality, sets of two components aren't similar where the heads are
+    farther apart than 1/4 and both reaches.
+    """
+    block = on.filter((F.col("rank") > after) & (F.col("rank") <= last)).select("token", F.col("head").alias("x"), F.col("rank").alias("of"), F.col("reach").alias("r"), F.col("n").alias("m"))
     # sets that differ in size by more than the bound are farther apart than it
-    near = F.expr("of <> label and 1 - least(n, m) / greatest(n, m) <= 0.25 + r + reach + 1e-9")
+    near = F.expr("rank < of and 1 - least(n, m) / greatest(n, m) <= 0.25 + r + reach + 1e-9")
     pairs = block.join(on, "token").filter(near).select("x", F.col("head").alias("y"), (F.col("r") + F.col("reach")).alias("both")).distinct()
     return distances(pairs, sets).join(pairs, ["x", "y"]).filter("far <= 0.25 + both + 1e-9").select("x", "y").distinct()
 

@@ -67,6 +67,20 @@ def test_join(docs, monkeypatch, short, often, block):
     assert sorted(((r["doc_id"] is None, r["doc_id"] or 0, r["n_shingles"], r["component_id"]) for r in rows), key=str) == brute(texts, ids)
 
 
+def test_links_beyond_the_first_block(spark, monkeypatch):
+    """One long list of six classes, of which 4 and 5 alone are similar; the first block holds class 1."""
+    sets = {k: range(100 * k, 100 * k + 8) for k in range(1, 7)} | {5: range(401, 409)}
+    rows = [(k, np.array(s, np.int64).tobytes()) for k, s in sets.items()]
+    held = spark.createDataFrame([(k, bytearray(b)) for k, b in rows], "cls bigint, set binary")
+    index = spark.createDataFrame([(1, k, ngram_join.noted(20000, 8, 0), 6) for k in sets], "token bigint, cls bigint, note bigint, often bigint")
+    for name, value in (("SHORT", 2), ("BLOCK", 1), ("FEW_PAIRS", 6), ("narrowed", lambda rest, known: rest), ("fetched", lambda *a: held), ("reordered", lambda sets: index)):
+        monkeypatch.setattr(ngram_join, name, value)
+    none = lambda schema: spark.createDataFrame([], schema)
+    links, labels = ngram_join.settled(held, held, held, index.select("token", "cls"), none("x bigint, y bigint"), none("x bigint, label bigint"))
+    assert {frozenset(r) for r in links.collect()} == {frozenset((4, 5))}
+    assert {(r["x"], r["label"]) for r in labels.collect()} == {(4, 4), (5, 4)}
+
+
 def test_join_of_nothing(docs):
     assert ngram_join.joined(docs(["a"]).limit(0)).isEmpty()
     assert [r["component_id"] for r in ngram_join.joined(docs([None], [4])).collect()] == [4]
