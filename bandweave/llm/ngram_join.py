@@ -1,17 +1,26 @@
 """N-gram Jaccard join by T-occurrence search, and the classes that its links make.
 
 A document's set holds its distinct five-word shingles, as 64-bit hashes; documents of equal sets are one class, and a
-class is indexed once. Two sets whose Jaccard index is 3/4 or more share at least one of the first n - ceil(3n/4) + 1
-shingles of either in any common order, so inverted lists of those are enough.
-
-Short lists (up to SHORT classes) are merged with a heap: for each class, the classes of its short lists come out in
-order with the number of lists they are on. Long lists aren't merged. As in DivideSkip, a class is kept if its count
-could reach the required overlap were it on all long lists too, and then probed by binary search in the whole set. The
-first class of a long list is probed by all others of it, which settles groups of near copies.
-
-Long lists whose classes aren't all linked yet are taken up again: for the documents on them, shingles are ordered anew
-by frequency, so that only sets made up of frequent shingles by three quarters stay on long lists. What then
-is still apart is compared in blocks with all of its list. No list is cut, no class is dropped.
+class is searched for once. Two sets whose Jaccard index is 3/4 or more share so many shingles that either has most of its
+own in common with other classes, and that the first n - ceil(3n/4) + 1 shingles of the larger one (the first
+n - ceil(6n/7) + 1 of the smaller one), in any common order, have one in common. The search goes in four steps.
+
+1. Of each set the first shingles by hash are dealt out, a row of many for each chunk of documents and part of the hashes,
+   and it is counted how many of them another class has too. Sets with fewer than any link asks for are left out
+   (`classed`). A shingle that a chunk holds more than once is known to be shared and not asked about, so that no task gets
+   more of a frequent one than a row for each chunk.
+2. What remains is dealt into buckets by class. Shingles are counted over all buckets (a row for each bucket that has one)
+   and ordered by frequency, rare ones first; inverted lists are made of the first ones of sets of which three quarters
+   are shared (`ordered`).
+3. As in DivideSkip, the lists of rare shingles are short (up to SHORT classes) and merged with a heap: for each class, the
+   classes of its short lists come out in order with the number of lists they are on, and are kept if the count could
+   reach the required overlap. All other shingles of a set, the longer lists, aren't merged but probed by binary search in
+   the whole set of what was kept. Of a long list, all classes are probed against the one that holds most shared shingles.
+4. Classes that meet on long lists alone and aren't in the list's main component by then are gathered in blocks of BLOCK;
+   all classes of their lists go by each block once, where occurrences on the block's inverted lists are counted (`settled`).
+
+No list is cut, no class is dropped. Tasks hold a chunk, a bucket, a short list, one set's lists or a block at a time, whatever
+the size of a group; of links, only as many as join the components are kept, so that copies aren't expanded into all pairs.
 
 Null and empty texts and white space have no shingles: n_shingles 0, linked with nothing. A text of fewer than five words
 has one shingle, the whole. Null doc_ids take part, but never name a component that has others. Repeated rows are rows
@@ -25,31 +34,26 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bandweave.llm.common import ROOT, arrow_pass, salt_copies, salted, written
-from bandweave.llm.components import components
+from bandweave.llm.common import arrow_pass, discard, fresh, prepared, salt_copies, salted, written
+from bandweave.llm.components import components, spanning
 from bandweave.llm.shingles import hashed_words, shingled
 
 N = 5
-#: Lists of more classes than this are long.
+#: Lists of more classes than this are long; 64 at most, as lists' lengths are kept exactly up to there.
 SHORT = 64
-#: A shingle in so many classes of one task is counted ahead of the index, so that no task gets all of a frequent one.
-OFTEN = 32
-#: Candidates of a class that are probed first; the others are probed if they aren't linked by then.
-FIRST = 2
-#: Up to so many doc_ids are broadcast to fetch their texts; more are joined.
-FEW_IDS = 1_000_000
-#: Up to so many pairs, and so many frequent shingles (of 16 bytes each), are broadcast.
-FEW_PAIRS, FEW_FREQUENT = 400_000, 1_000_000
-#: So many components of a long list, or more, are compared with all others of it in one round; rounds go on to the last.
+#: A chunk holds documents up to so many shingles, and a bucket about as many.
+CHUNK = 1 << 20
+#: Classes in a block.
 BLOCK = 64
+#: Up to so many doc_ids are broadcast to fetch their texts; more are joined. Up to so many pairs are broadcast.
+FEW_IDS, FEW_PAIRS = 1_000_000, 400_000
 SALTS = 16
-#: The order is cut into parts of STEP of its 2^14 grades; of the first GRADES parts it is noted how much of a set they hold.
-STEP, GRADES = 256, 24
 
 
 def shingle_sets(texts: list[str | None], n: int = N) -> list[np.ndarray]:
@@ -62,12 +66,27 @@ def class_of(shingles: np.ndarray) -> int | None:
     return xxhash.xxh3_64_intdigest(shingles.tobytes()) - (1 << 63) if len(shingles) else None
 
 
-def prefix(n: int) -> int:
-    """How many shingles of a set of n are indexed."""
-    return n - (3 * n + 3) // 4 + 1
+def least(n):  # noqa: ANN001, ANN201
+    """How many shingles of a set of n any link of it shares (integers or arrays)."""
+    return (3 * n + 3) // 4
+
+
+def occurrences(n):  # noqa: ANN001, ANN201
+    """How many shared shingles are asked for among the first ones by hash, of sets of which the smaller one has n."""
+    return (n + 11) // 12
+
+
+def prefix(n):  # noqa: ANN001, ANN201
+    """How many shingles of a set of n are looked up in the inverted lists of sets that aren't larger."""
+    return n - least(n) + 1
 
 
-def required(n: int, m: int) -> int:
+def indexed(n):  # noqa: ANN001, ANN201
+    """How many shingles of a set of n are in inverted lists for sets that aren't smaller: two of n share 6n/7 or more."""
+    return n - (6 * n + 6) // 7 + 1
+
+
+def required(n, m):  # noqa: ANN001, ANN201
     """The least overlap of sets of n and m shingles at a Jaccard index of 3/4."""
     return (3 * (n + m) + 6) // 7
 
@@ -84,482 +103,447 @@ def linked(one: np.ndarray, two: np.ndarray) -> bool:
     return 100 * both >= 75 * (len(one) + len(two) - both)
 
 
-# What the index holds of a shingle beside its class, in one integer: how far the order has come at the prefix's end
-# (15 bits), the set's size (24 bits), and the shingle's place in the set (24 bits).
-def noted(last: int, n: int, place: int) -> int:
-    return last << 48 | n << 24 | place
-
+def possible(count: int, n: int, m: int, i: int, j: int) -> bool:
+    """Whether sets of n and m can be similar enough that share count of their first shingles, the last at places i and j."""
+    return count + min(n - 1 - i, m - 1 - j) >= required(n, m)
 
-def unnoted(x: int) -> tuple[int, int, int]:
-    return x >> 48, x >> 24 & 0xFFFFFF, x & 0xFFFFFF
-
-
-def reached(token: int) -> int:
-    """A shingle's place in the first common order, by hash, in 14 bits; the second one has the frequent behind these."""
-    return (token + (1 << 63)) >> 50
 
+def merged(lists: list[list[tuple[int, int, int]]]) -> Iterator[tuple[int, int, int, int]]:
+    """(class, count, its place, own place) of everything on ascending lists of (class, its place, own place), merged with a
+    heap; the places are those of the last shared shingle, the one farthest in the sets."""
+    before, count, theirs, own = None, 0, 0, 0
+    for cls, place, mine in heapq.merge(*lists):
+        if cls != before:
+            if before is not None:
+                yield before, count, theirs, own
+            before, count, theirs, own = cls, 0, place, mine
+        count += 1
+        theirs, own = max(theirs, place), max(own, mine)
+    if before is not None:
+        yield before, count, theirs, own
 
-def possible(count: int, unseen: int, one: tuple[int, int, int], two: tuple[int, int, int]) -> bool:
-    """Whether two sets can be similar enough that share count indexed shingles and unseen further ones at most.
 
-    one and two: how far the prefix reaches, the size, and the place of the last shared shingle.
-    """
-    (far, n, i), (away, m, j) = one, two
-    if 4 * min(n, m) < 3 * max(n, m):
-        return False
-    rest_one, rest_two = n - prefix(n), m - prefix(m)
-    behind_one, behind_two = n - 1 - i, m - 1 - j
-    if unseen:  # of those, any may lie behind the last shared one that was seen
-        behind_one = behind_two = max(n, m)
-    if far < away:
-        rest = min(rest_one, behind_two)
-    elif away < far:
-        rest = min(rest_two, behind_one)
-    else:
-        rest = max(min(rest_one, behind_two), min(rest_two, behind_one))
-    return count + unseen + rest >= required(n, m)
+def parts_of(df: DataFrame) -> int:
+    """In how many bits the parts of the hashes are numbered: more than there are shuffle partitions, 64 parts at least."""
+    return max(6, (2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
 
 
-def merged(lists: list[list[tuple[int, int, int]]]) -> Iterator[tuple[int, int, int, int]]:
-    """(class, count, its note, own note) of everything on ascending lists of (class, its note, own note), merged with a heap.
+def coded(tokens: np.ndarray, bits: int) -> np.ndarray:
+    """The part and the next 32 bits of shingles, as one number that keeps their order. Equal ones can stand for different
+    shingles, which are then counted together."""
+    return (tokens.view(np.uint64) + np.uint64(1 << 63)) >> np.uint64(32 - bits)
 
-    The notes are those of the last shared shingle, the one farthest in the sets."""
-    before = count = theirs = own = None
-    for cls, note, mine in heapq.merge(*lists):
-        if cls != before:
-            if before is not None:
-                yield before, count, theirs, own  # type: ignore[misc]
-            before, count, theirs, own = cls, 0, note, mine
-        count += 1  # type: ignore[operator]
-        if note & 0xFFFFFF > theirs & 0xFFFFFF:  # type: ignore[operator]
-            theirs = note
-        if mine & 0xFFFFFF > own & 0xFFFFFF:  # type: ignore[operator]
-            own = mine
-    if before is not None:
-        yield before, count, theirs, own  # type: ignore[misc]
 
+def by_part(codes: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(part, from, to) of ascending codes."""
+    parts = (codes >> np.uint64(32)).astype(np.int64)
+    edges = [0, *(np.flatnonzero(np.diff(parts)) + 1).tolist(), len(parts)]
+    return ((int(parts[a]), a, b) for a, b in zip(edges[:-1], edges[1:]) if b > a)
 
-def _grouped(df: DataFrame, key: str, work: Callable[[dict[str, list]], dict[str, list]], schema: str) -> DataFrame:
-    """work on dicts of column lists whose rows of one key are together and complete. df: sorted by key in its partitions.
 
-    A key's rows are held by one task at once; callers see to it that there are few of any key.
-    """
+def _pass(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[dict[str, list]]], schema: str) -> DataFrame:
+    """mapInArrow whose work yields dicts of columns (lists, numpy or Arrow arrays); columns not given are null."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    df.sparkSession.sparkContext.environment.setdefault("PYTHONPATH", ROOT)
+    prepared(df.sparkSession)
     out = T._parse_datatype_string(schema)
     arrow = to_arrow_schema(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
+        for rows in work(batches):
+            if size := max(map(len, rows.values()), default=0):
+                arrays = [rows[f.name] if isinstance(rows.get(f.name), pa.Array) else pa.array(rows[f.name], f.type) if f.name in rows else pa.nulls(size, f.type) for f in arrow]
+                yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
+
+    return df.mapInArrow(run, out)
+
 
-        def made(t: pa.Table) -> pa.RecordBatch:
-            rows = work({n: t.column(n) for n in t.column_names})
-            return pa.RecordBatch.from_arrays([pa.array(rows[f.name], f.type) for f in arrow], schema=arrow)
+def _grouped(df: DataFrame, key: str, work: Callable[[pa.Table], Iterator[dict[str, list]]], schema: str) -> DataFrame:
+    """work on tables whose rows of one key are together and complete. df: sorted by key in its partitions.
 
+    A key's rows are held by one task at once; callers see to it that there are few of any key.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
+        held: pa.Table | None = None
         for batch in batches:
             if not batch.num_rows:
                 continue
             t = pa.Table.from_batches([batch])
             held = t if held is None else pa.concat_tables([held, t])
-            keys = held.column(key)
-            last = keys[held.num_rows - 1].as_py()
-            if keys[0].as_py() == last:
+            last = batch.column(key)[batch.num_rows - 1].as_py()
+            if held.column(key)[0].as_py() == last:
                 continue
-            column = keys.to_numpy()
+            column = held.column(key).to_numpy()
             cut = len(column) - int(np.argmax(column[::-1] != last))
-            yield made(held.slice(0, cut))
+            yield from work(held.slice(0, cut))
             held = held.slice(cut)
         if held is not None:
-            yield made(held)
+            yield from work(held)
+
+    return _pass(df, run, schema)
+
+
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """df with its rows of a key together, in order. By a hash of the key: a plan that deals by the key itself may be merged
+    with a join's and then be read as it lies."""
+    return df.repartition(F.xxhash64(key)).sortWithinPartitions(key)
+
+
+QUESTIONS = "doc_id bigint, n bigint, cls bigint, known int, part int, asks binary, owners binary, classes binary, seen binary"
+
+
+def classed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """doc_id, n and cls of each row of docs; and of each class cls, n, the smallest doc_id, the number of rows (copies), and
+    whether it can have links (live)."""
+    bits = parts_of(docs)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
+        ids: list[int | None] = []
+        sizes: list[int] = []
+        classes: list[int | None] = []
+        first: dict[int, int] = {}  # a class's row in this chunk
+        kept: list[np.ndarray] = []
+
+        def chunk() -> Iterator[dict[str, list]]:
+            known: list[int | None] = [None] * len(ids)
+            rows = {"doc_id": [*ids], "n": [*sizes], "cls": [*classes], "known": known, "part": [(c or k) % (1 << bits) for k, c in enumerate(classes)]}
+            if kept:
+                own, at = np.array([*first]), [*first.values()]
+                owner = np.repeat(np.arange(len(kept)), [*map(len, kept)])
+                codes = coded(np.concatenate(kept), bits)
+                order = np.argsort(codes, kind="stable")
+                codes, owner = codes[order], owner[order]
+                same = np.concatenate([[False], codes[1:] == codes[:-1]])
+                many = same | np.concatenate([same[1:], [False]])
+                counts = np.bincount(owner[many], minlength=len(kept))
+                for k, c in zip(at, counts.tolist()):
+                    known[k] = c
+                n = np.array([sizes[k] for k in at])
+                asks = ~many & (counts < occurrences(least(n)))[owner]
+                seen = codes[~asks & ~same]
+                there = {part: [None, None, None, seen[a:b].astype(np.uint32).tobytes()] for part, a, b in by_part(seen)}
+                codes, owner = codes[asks], owner[asks]
+                for part, a, b in by_part(codes):
+                    who, which = np.unique(owner[a:b], return_inverse=True)
+                    there.setdefault(part, [None] * 4)[:3] = codes[a:b].astype(np.uint32).tobytes(), which.astype(np.uint16).tobytes(), own[who].tobytes()
+                yield {"part": [*there], **dict(zip(("asks", "owners", "classes", "seen"), zip(*there.values())))}
+            yield rows
+            for x in (ids, sizes, classes, first, kept):
+                x.clear()
+
+        held = 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, 100):
+                cut = batch.slice(at, 100)
+                for i, s in zip(cut.column("doc_id").to_pylist(), shingle_sets(cut.column("text").to_pylist())):
+                    c = class_of(s)
+                    if c is not None and c not in first:
+                        first[c] = len(ids)
+                        kept.append(s[: len(s) - least(len(s)) + occurrences(len(s))])
+                        held += len(kept[-1])
+                    ids.append(i)
+                    sizes.append(len(s))
+                    classes.append(c)
+                    if held >= CHUNK or len(ids) >= 65_000:
+                        held = 0
+                        yield from chunk()
+        if ids:
+            yield from chunk()
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
+        parts: dict[int, list[tuple]] = {}
+        for batch in batches:
+            there = batch.filter(pc.is_valid(batch.column("n")))
+            yield {n: there.column(n) for n in ("doc_id", "n", "cls", "known")}
+            there = batch.filter(pc.is_null(batch.column("n")))
+            for part, *row in zip(*(there.column(n).to_pylist() for n in ("part", "asks", "owners", "classes", "seen"))):
+                parts.setdefault(part, []).append(tuple(row))
+        found = []
+        for rows in parts.values():
+            seen = np.concatenate([np.frombuffer(r[3] or b"", np.uint32) for r in rows])
+            codes = np.concatenate([np.frombuffer(r[0] or b"", np.uint32) for r in rows])
+            if len(codes):
+                own = np.concatenate([np.frombuffer(r[2], np.int64)[np.frombuffer(r[1], np.uint16)] for r in rows if r[0]])
+                order = np.lexsort((own, codes))
+                codes, own = codes[order], own[order]
+                once = np.concatenate([[True], (codes[1:] != codes[:-1]) | (own[1:] != own[:-1])])
+                codes, own = codes[once], own[once]  # copies in several chunks ask once
+                same = np.concatenate([[False], codes[1:] == codes[:-1]])
+                found.append(own[same | np.concatenate([same[1:], [False]]) | np.isin(codes, seen)])
+        if found:
+            cls, add = np.unique(np.concatenate(found), return_counts=True)
+            yield {"cls": cls, "shared": add}
+
+    questions = _pass(docs.select("doc_id", "text"), ask, QUESTIONS).repartition("part")
+    told = written(_pass(questions, answer, "doc_id bigint, n bigint, cls bigint, known int, shared bigint"), "told")
+    enough = "coalesce(max(known), 0) + coalesce(sum(shared), 0) >= ((3 * max(n) + 3) div 4 + 11) div 12 as live"
+    per_class = told.filter("cls is not null").groupBy("cls").agg(F.max("n").alias("n"), F.min("doc_id").alias("doc_id"), F.count("n").alias("copies"), F.expr(enough))
+    return told.filter("n is not null").select("doc_id", "n", "cls"), written(per_class, "classes")
+
+
+def fetched(docs: DataFrame, classes: DataFrame) -> tuple[DataFrame, int]:
+    """cls and set (binary, ascending 64-bit integers) of live classes, made anew from a text of each; and in how many buckets
+    they go. Rows may be there more than once."""
+    wanted = classes.filter("live")
+    many, without, shingles = wanted.agg(F.count("*"), F.count(F.when(F.col("doc_id").isNull(), 1)), F.sum("n")).first()
+    some = wanted.filter("doc_id is not null").select("doc_id", F.col("cls").alias("of"))
+    rows = docs.select("doc_id", "text").filter("doc_id is not null").join(F.broadcast(some) if many <= FEW_IDS else some, "doc_id")
 
-    return df.mapInArrow(run, out)
+    def work(parts: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
+        for p in parts:
+            kept = [(c, s.tobytes()) for s, of in zip(shingle_sets(p["text"]), p["of"]) if (c := class_of(s)) is not None and of in (None, c)]
+            yield {"cls": [c for c, _ in kept], "set": [s for _, s in kept]}
 
+    made = arrow_pass(rows, work, "cls bigint, set binary", 100)
+    if without:  # classes none of whose documents has an id
+        rows = docs.select("doc_id", "text").filter("doc_id is null").withColumn("of", F.lit(None).cast("long"))
+        made = made.unionByName(arrow_pass(rows, work, "cls bigint, set binary", 100).join(wanted.filter("doc_id is null").select("cls"), "cls", "left_semi"))
+    return made, -(-(shingles or 0) // CHUNK) or 1
 
-LISTED = "x bigint, note bigint, token bigint, others array<bigint>, notes array<bigint>"
-
-
-def _lists(table: dict[str, pa.ChunkedArray]) -> dict[str, list]:
-    """From index rows by shingle: for each class on a short list, the classes before it there; on a long one, its first."""
-    token, cls, note = (table[n].to_numpy() for n in ("token", "cls", "note"))
-    out: dict[str, list] = {n: [] for n in ("x", "note", "token", "others", "notes")}
-    same = token[1:] == token[:-1]
-    starts = np.flatnonzero(same & ~np.concatenate([[False], same[:-1]])) if len(same) else np.array([], np.int64)
-    ends = np.flatnonzero(same & ~np.concatenate([same[1:], [False]])) + 2 if len(same) else starts
-    for a, b in zip(starts.tolist(), ends.tolist()):
-        group, first = np.unique(cls[a:b], return_index=True)
-        k = len(group)
-        if k < 2:
-            continue
-        members, notes = group.tolist(), note[a:b][first].tolist()
-        if k <= SHORT:
-            for j in range(1, k):
-                out["x"].append(members[j])
-                out["note"].append(notes[j])
-                out["token"].append(None)
-                out["others"].append(members[:j])
-                out["notes"].append(notes[:j])
-        else:
-            long = int(token[a])
-            for j in range(k):
-                out["x"].append(members[j])
-                out["note"].append(notes[j])
-                out["token"].append(long)
-                out["others"].append(members[:1])
-                out["notes"].append(notes[:1])
-    return out
-
-
-def listed(index: DataFrame, often: DataFrame) -> DataFrame:
-    """LISTED rows of an index (token, cls, note). often: shingles (token) whose lists are made by sums, not in one task."""
-    few = often.count() <= FEW_IDS
-    # Dealt by a hash of the key: a plan that deals by the key itself may be merged with the join's and then be read as it lies.
-    rare = index.join(F.broadcast(often) if few else often, "token", "left_anti").repartition(F.xxhash64("token")).sortWithinPartitions("token")
-    some = _grouped(rare, "token", _lists, LISTED)
-    hot = salted(index, SALTS).join(salt_copies(often, SALTS), ["token", "_salt"]).drop("_salt")
-    heads = hot.groupBy("token").agg(F.min(F.struct("cls", "note")).alias("head"), F.max("cls").alias("top")).filter("head.cls < top")
-    rows = salted(hot, SALTS).join(salt_copies(heads, SALTS), ["token", "_salt"])
-    many = rows.select(F.col("cls").alias("x"), "note", "token", F.array("head.cls").alias("others"), F.array("head.note").alias("notes"))
-    return some.unionByName(many)
-
-
-CANDIDATE = "x bigint, y bigint, place int"
-
-
-def _candidates(table: dict[str, pa.ChunkedArray]) -> dict[str, list]:
-    """From LISTED rows by class: the classes to probe, the ones on most lists first."""
-    columns = [table[n].to_pylist() for n in ("x", "note", "token", "others", "notes")]
-    out: dict[str, list] = {"x": [], "y": [], "place": []}
-    k, rows = 0, [*zip(*columns)]
-    while k < len(rows):
-        x, short, heads, end = rows[k][0], [], {}, k
-        tokens = set()
-        while end < len(rows) and rows[end][0] == x:
-            _, note, token, others, notes = rows[end]
-            if token is None:
-                short.append([(c, n, note) for c, n in zip(others, notes)])
-            else:
-                tokens.add(token)
-                if others[0] != x:
-                    heads[others[0]] = (notes[0], note)
-            end += 1
-        k = end
-        found = []
-        for y, count, theirs, own in merged(short):
-            if possible(count, len(tokens), unnoted(own), unnoted(theirs)):
-                found.append((-count, y))
-                heads.pop(y, None)
-        for y, (theirs, own) in heads.items():
-            if possible(0, len(tokens), unnoted(own), unnoted(theirs)):
-                found.append((0, y))
-        for place, (_, y) in enumerate(sorted(found)):
-            out["x"].append(x)
-            out["y"].append(y)
-            out["place"].append(place)
-    return out
 
+def graded(counts: np.ndarray) -> np.ndarray:
+    """The lengths of lists in 8 bits: exactly up to 64, by eighths of a power of two beyond."""
+    return np.where(counts <= 64, counts, np.minimum(255, 65 + 8 * np.log2(np.maximum(counts, 64) / 64))).astype(np.uint8)
 
-def candidates(rows: DataFrame) -> DataFrame:
-    """CANDIDATE rows of LISTED rows. Of one class there are as many as indexed shingles it shares."""
-    return _grouped(rows.repartition(F.xxhash64("x")).sortWithinPartitions("x"), "x", _candidates, CANDIDATE)
 
+HELD = "bucket bigint, cls bigint, set binary, part int, codes binary, counts binary"
+INDEX = "token bigint, cls bigint, n bigint, shared bigint, place bigint, grade int"
 
-def fetched(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """cls and set (binary, ascending 64-bit integers) of the wanted classes (cls), made anew from a text of each.
 
-    classes: cls and doc_id of one of its documents, null where none has an id.
-    """
-    ids = written(classes.join(wanted.select("cls").distinct(), "cls", "left_semi").select("doc_id", "cls"), "wanted")
-    some = ids.filter("doc_id is not null").select("doc_id", F.col("cls").alias("of")).distinct()
-    few = ids.count() <= FEW_IDS
-    rows = docs.select("doc_id", "text").filter("doc_id is not null").join(F.broadcast(some) if few else some, "doc_id")
-    without = docs.select("doc_id", "text").filter("doc_id is null").withColumn("of", F.lit(None).cast("long"))
+def ordered(made: DataFrame, buckets: int) -> tuple[DataFrame, DataFrame]:
+    """From rows of cls and set: a table that has each once (and other rows without set), and the INDEX of its first shingles by
+    frequency, without those that no other class has. shared: how many of the set's shingles others have; place: the
+    shingle's in the set in that order; grade: how many classes have the shingle, as of graded."""
+    bits = parts_of(made)
 
-    def work(parts: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
-        for p in parts:
-            sets = shingle_sets(p["text"])
-            kept = [(c, s.tobytes()) for s, of in zip(sets, p["of"]) if (c := class_of(s)) is not None and of in (None, c)]
-            yield {"cls": [c for c, _ in kept], "set": [s for _, s in kept]}
+    def held(t: pa.Table) -> Iterator[dict[str, list]]:
+        bucket, cls, sets = t.column("bucket").to_numpy(), t.column("cls").to_numpy(), t.column("set").to_pylist()
+        for b in np.unique(bucket).tolist():
+            own, at = np.unique(cls[bucket == b], return_index=True)
+            mine = [sets[k] for k in (np.flatnonzero(bucket == b)[at]).tolist()]
+            for k in range(0, len(mine), 200):
+                yield {"bucket": [b] * len(mine[k : k + 200]), "cls": own[k : k + 200], "set": mine[k : k + 200]}
+            codes, counts = np.unique(coded(np.frombuffer(b"".join(mine), np.int64), bits), return_counts=True)
+            rows = [(part, codes[i:j].astype(np.uint32).tobytes(), counts[i:j].astype(np.uint32).tobytes()) for part, i, j in by_part(codes)]
+            yield {"bucket": [b] * len(rows), **dict(zip(("part", "codes", "counts"), map(list, zip(*rows))))}
 
-    made = arrow_pass(rows.unionByName(without), work, "cls bigint, set binary", 100)
-    nulls = made.join(ids.filter("doc_id is null").select("cls").distinct(), "cls", "left_semi") if not ids.filter("doc_id is null").isEmpty() else None
-    known = arrow_pass(rows, work, "cls bigint, set binary", 100)
-    return written((known if nulls is None else known.unionByName(nulls)).groupBy("cls").agg(F.any_value("set").alias("set")), "sets")
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
+        parts: dict[int, list[tuple]] = {}
+        for batch in batches:
+            for part, *row in zip(*(batch.column(n).to_pylist() for n in ("part", "bucket", "codes", "counts"))):
+                parts.setdefault(part, []).append(tuple(row))
+        while parts:
+            part, rows = parts.popitem()
+            codes = np.concatenate([np.frombuffer(r[1], np.uint32) for r in rows])
+            counts = np.concatenate([np.frombuffer(r[2], np.uint32) for r in rows])
+            whole, which = np.unique(codes, return_inverse=True)
+            grades = graded(np.bincount(which, counts, len(whole)).astype(np.int64))[which]
+            at = 0
+            out: dict[str, list] = {"bucket": [], "part": [], "codes": [], "counts": []}
+            for b, raw, _ in rows:
+                mine = slice(at, at := at + len(raw) // 4)
+                more = grades[mine] > 1
+                for name, x in (("bucket", b), ("part", part), ("codes", codes[mine][more].tobytes()), ("counts", grades[mine][more].tobytes())):
+                    out[name].append(x)
+            yield out
 
+    def index(t: pa.Table) -> Iterator[dict[str, list]]:
+        t = t.sort_by("bucket")
+        bucket = t.column("bucket").to_numpy()
+        for b in np.unique(bucket).tolist():
+            a, z = np.searchsorted(bucket, [b, b + 1]).tolist()
+            cls, raw, part, codes, grades = (t.column(n).slice(a, z - a).to_pylist() for n in ("cls", "set", "part", "codes", "counts"))
+            told = [k for k in range(z - a) if part[k] is not None]
+            keys = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(codes[k], np.uint32).astype(np.uint64) + np.uint64(part[k] << 32) for k in told)])
+            known = np.concatenate([np.zeros(0, np.uint8), *(np.frombuffer(grades[k], np.uint8) for k in told)])
+            order = np.argsort(keys)
+            keys, known = np.append(keys[order], np.uint64((1 << 64) - 1)), np.append(known[order], np.uint8(1))
+            sets = [k for k in range(z - a) if raw[k] is not None]
+            own, n = np.array([cls[k] for k in sets], np.int64), np.array([len(raw[k]) // 8 for k in sets], np.int64)
+            token, owner = np.frombuffer(b"".join(raw[k] for k in sets), np.int64), np.repeat(np.arange(len(sets)), n)
+            mine = coded(token, bits)
+            at = np.searchsorted(keys, mine)
+            grade = np.where(keys[at] == mine, known[at], np.uint8(1))
+            shared = np.bincount(owner[grade > 1], minlength=len(sets))
+            few = (shared >= least(n))[owner] & (grade > 1)  # sets that can have links, and what they share
+            token, owner, grade = token[few], owner[few], grade[few]
+            order = np.lexsort((token, grade, owner))
+            token, owner, grade = token[order], owner[order], grade[order]
+            starts = np.searchsorted(owner, np.arange(len(sets)))
+            place = np.arange(len(token)) - starts[owner] + (n - shared)[owner]  # what no other class has comes first
+            few = place < prefix(n)[owner]
+            token, owner, grade, place = token[few], owner[few], grade[few], place[few]
+            yield {"token": token, "cls": own[owner], "n": n[owner], "shared": shared[owner], "place": place, "grade": grade}
+
+    rows = dealt(made.withColumn("bucket", F.pmod(F.xxhash64("cls"), F.lit(buckets))), "bucket")
+    sets = written(_grouped(rows, "bucket", held, HELD), "sets")
+    answers = _pass(sets.filter("part is not null").select("bucket", "part", "codes", "counts").repartition("part"), count, HELD)
+    both = sets.filter("set is not null").unionByName(answers)
+    return sets, written(_grouped(dealt(both, "bucket"), "bucket", index, INDEX), "index")
+
+
+LISTED = "x bigint, n bigint, place bigint, others array<bigint>, sizes array<bigint>, places array<bigint>"
+
+
+def lists(t: pa.Table) -> Iterator[dict[str, list]]:
+    """From INDEX rows by shingle: for each class the classes on that list that aren't larger, in order, with sizes and places."""
+    columns = [t.column(n).to_numpy() for n in ("token", "cls", "n", "shared", "place")]
+    order = np.lexsort((columns[1], columns[2], columns[0]))  # on each list smaller sets first
+    token, cls, n, shared, place = (c[order] for c in columns)
+    found = []
+    few, step = np.arange(len(token) - 1), 1
+    while len(few):
+        few = few[few + step < len(token)]
+        few = few[token[few] == token[few + step]]
+        y, x = few, few + step
+        could = (place[y] < indexed(n[y])) & (4 * n[y] >= 3 * n[x]) & (required(n[x], n[y]) <= np.minimum(shared[x], shared[y])) & (cls[x] != cls[y])
+        found.append((x[could], y[could]))
+        step += 1
+    if not found:
+        return
+    x, y = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+    order = np.lexsort((cls[y], x))
+    x, y = x[order], y[order]
+    starts = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
+    offsets = pa.array(np.append(starts, len(x)).astype(np.int32))
+    arrays = {name: pa.ListArray.from_arrays(offsets, pa.array(values[y])) for name, values in (("others", cls), ("sizes", n), ("places", place))}
+    yield {"x": cls[x[starts]], "n": n[x[starts]], "place": place[x[starts]], **arrays}
+
+
+def merge(t: pa.Table) -> Iterator[dict[str, list]]:
+    """From LISTED rows by class: the pairs to probe."""
+    rows = [*zip(*(t.column(n).to_pylist() for n in ("x", "n", "place", "others", "sizes", "places")))]
+    out: dict[str, list] = {"x": [], "y": []}
+    k = 0
+    while k < len(rows):
+        x, n = rows[k][:2]
+        short, size = [], {}
+        while k < len(rows) and rows[k][0] == x:
+            _, _, place, others, sizes, places = rows[k]
+            short.append([(y, p, place) for y, p in zip(others, places)])
+            size.update(zip(others, sizes))
+            k += 1
+        for y, count, theirs, own in merged(short):
+            if possible(count, n, size[y], own, theirs):
+                out["x"].append(x)
+                out["y"].append(y)
+    yield out
 
-def with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """x, y and both sets (a, b). Of sets, those that few pairs ask for are picked first, and no others are dealt out."""
-    pairs = written(pairs.select("x", "y"), "pairs")
-    one, two = sets.select(F.col("cls").alias("x"), F.col("set").alias("a")), sets.select(F.col("cls").alias("y"), F.col("set").alias("b"))
-    if pairs.count() <= FEW_PAIRS:
-        two = two.join(F.broadcast(pairs.select("y").distinct()), "y", "left_semi")
-        return one.join(F.broadcast(pairs), "x").join(two, "y")
-    return pairs.join(one, "x").join(two, "y")
+
+def candidates(index: DataFrame) -> DataFrame:
+    """Pairs (x, y) to probe: from short lists what the merge keeps, from long ones all with the class that shares most."""
+    listed = _grouped(dealt(index.filter(F.col("grade") <= SHORT), "token"), "token", lists, LISTED)
+    short = _grouped(dealt(listed, "x"), "x", merge, "x bigint, y bigint")
+    long = index.filter(F.col("grade") > SHORT).select("token", "cls", "n", "shared")
+    heads = long.groupBy("token").agg(F.min(F.struct((1 - F.col("shared") / F.col("n")).alias("own"), "cls", "n", "shared")).alias("h"))
+    both = salted(long, SALTS).join(salt_copies(heads, SALTS), ["token", "_salt"])
+    could = "cls <> h.cls and 4 * least(n, h.n) >= 3 * greatest(n, h.n) and (3 * (n + h.n) + 6) div 7 <= least(shared, h.shared)"
+    return short.unionByName(both.filter(could).select(F.greatest("cls", "h.cls").alias("x"), F.least("cls", "h.cls").alias("y")).distinct())
 
 
 def probed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those pairs (x, y) of classes whose sets are similar enough."""
+    """Those pairs (x, y) of classes whose sets are similar enough. pairs: a table; of few, only sets they name are dealt out."""
 
     def work(parts: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
         for p in parts:
             good = [(x, y) for x, y, a, b in zip(p["x"], p["y"], p["a"], p["b"]) if linked(np.frombuffer(a, np.int64), np.frombuffer(b, np.int64))]
             yield {"x": [g[0] for g in good], "y": [g[1] for g in good]}
 
-    return arrow_pass(with_sets(pairs, sets).select("x", "y", "a", "b"), work, "x bigint, y bigint", 500)
-
-
-def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Those pairs whose classes have different labels; a class without one is its own."""
-    for name in ("x", "y"):
-        pairs = pairs.join(labels.select(F.col("x").alias(name), F.col("label").alias(f"_{name}")), name, "left")
-    return pairs.filter(F.coalesce("_x", "x") != F.coalesce("_y", "y")).drop("_x", "_y")
-
-
-def indexed(docs: DataFrame) -> DataFrame:
-    """For each row of docs: doc_id, n, cls, and, where the task meets a class for the first time, its prefix (tokens), how
-    far it reaches (last), and how many of its shingles come before each STEP of the order (steps). Further rows, without n, hold shingles that a task met OFTEN."""
-
-    def work(parts: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
-        met: set[int] = set()
-        bounds = [(k * STEP << 50) - (1 << 63) for k in range(1, GRADES + 1)]
-        kept = [np.zeros(0, np.int64)]
-        for p in parts:
-            out: dict[str, list] = {"doc_id": p["doc_id"], "n": [], "cls": [], "tokens": [], "last": [], "steps": [], "often": [None] * len(p["doc_id"])}
-            for s in shingle_sets(p["text"]):
-                c = class_of(s)
-                new = c is not None and c not in met
-                tokens = s[: prefix(len(s))] if new else None
-                if new:
-                    met.add(c)  # type: ignore[arg-type]
-                    kept.append(tokens)
-                out["n"].append(len(s))
-                out["cls"].append(c)
-                out["tokens"].append(tokens)
-                out["last"].append(reached(int(tokens[-1])) if new else None)
-                out["steps"].append(np.searchsorted(tokens, bounds).tolist() if new else None)
+    one, two = sets.select(F.col("cls").alias("x"), F.col("set").alias("a")), sets.select(F.col("cls").alias("y"), F.col("set").alias("b"))
+    if pairs.count() <= FEW_PAIRS:
+        rows = one.join(F.broadcast(pairs), "x").join(two.join(F.broadcast(pairs.select("y").distinct()), "y", "left_semi"), "y")
+    else:
+        rows = pairs.join(one, "x").join(two, "y")
+    return arrow_pass(rows.select("x", "y", "a", "b"), work, "x bigint, y bigint", 500)
+
+
+def still_open(index: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows of long lists whose classes have more than one label, that may yet be linked with another one there: token, cls,
+    label, n, shared, low and high (the sizes it could be linked with), and rest: not of the list's main label."""
+    long = index.filter(F.col("grade") > SHORT).select("token", "cls", "n", "shared")
+    rows = written(long.join(labels.select(F.col("x").alias("cls"), "label"), "cls", "left").withColumn("label", F.coalesce("label", "cls")), "long")
+    per_label = rows.groupBy("token", "label").agg(F.count("*").alias("many"), F.min("n").alias("a"), F.max("n").alias("z"))
+    per_list = per_label.groupBy("token").agg(F.max(F.struct("many", "label")).alias("main"), F.count("*").alias("labels"), F.min("a").alias("a"), F.max("z").alias("z")).filter("labels > 1")
+    both = salted(rows, SALTS).join(salt_copies(per_list, SALTS), ["token", "_salt"])
+    both = both.withColumn("low", F.expr("(3 * n + 3) div 4")).withColumn("high", F.expr("least(4 * n div 3, 7 * shared div 3 - n)"))
+    return both.filter("low <= z and high >= a").select("token", "cls", "label", "n", "low", "high", (F.col("label") != F.col("main.label")).alias("rest"))
+
+
+def settled(index: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame | None:
+    """Edges (x, y) between the labels of classes that meet on long lists alone; None if none is open."""
+    rows = written(still_open(index, labels), "open")
+    rest = rows.filter("rest")
+    if rest.isEmpty():
+        return None
+    # Each class of the rest goes to one block, with others of its first list.
+    first = rest.groupBy("cls").agg(F.min("token").alias("list"))
+    blocks = first.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    number = F.xxhash64("list", F.pmod(F.xxhash64("cls"), F.col("blocks")))
+    named = written(first.join(blocks, "list").select("cls", number.alias("block")), "blocks")
+    asked = salted(rest, SALTS).join(salt_copies(named, SALTS), ["cls", "_salt"])
+    asked = asked.groupBy("token", "block").agg(F.min("low").alias("from"), F.max("high").alias("to"), F.min("n").alias("a"), F.max("n").alias("z"), F.min("label").alias("one"), F.max("label").alias("other"))
+    met = salted(rows, SALTS).alias("r").join(salt_copies(asked, SALTS).alias("a"), F.expr("r.token = a.token and r._salt = a._salt and r.n between a.from and a.to and a.z >= r.low and a.a <= r.high and not (a.one = r.label and a.other = r.label)"))
+    met = met.select("a.block", F.col("r.cls").alias("cls"), F.col("r.label").alias("label")).distinct()
+    own = rest.select("cls", "label").distinct().join(named, "cls").select("block", "cls", "label")
+    kinds = salt_copies(own.withColumn("kind", F.lit(0)), SALTS).unionByName(salted(met.withColumn("kind", F.lit(1)), SALTS))
+    full = kinds.join(sets.filter("set is not null").select("cls", "set"), "cls")
+    full = full.repartition("block", "_salt").sortWithinPartitions("block", "_salt", "kind")
+
+    def occur(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
+        now, tokens, held, ready = None, np.zeros(0, np.int64), [], False
+        for batch in batches:
+            out: dict[str, list] = {"x": [], "y": []}
+            for block, salt, kind, label, raw in zip(*(batch.column(n).to_pylist() for n in ("block", "_salt", "kind", "label", "set"))):
+                if (block, salt) != now:
+                    now, held, ready, joined_up = (block, salt), [], False, {}
+                s = np.frombuffer(raw, np.int64)
+                if kind == 0:
+                    held.append((label, s))
+                    continue
+                if not ready:  # the block's inverted lists, one behind the other
+                    ready = True
+                    flat, owner, sizes = np.concatenate([h[1] for h in held]), np.repeat(np.arange(len(held)), [len(h[1]) for h in held]), np.array([len(h[1]) for h in held])
+                    order = np.argsort(flat, kind="stable")
+                    tokens, starts = np.unique(flat[order], return_index=True)
+                    owner, ends = owner[order], np.append(starts[1:], len(flat))
+                at = np.minimum(np.searchsorted(tokens, s), len(tokens) - 1)
+                at = at[tokens[at] == s]
+                lengths = ends[at] - starts[at]
+                spots = np.repeat(starts[at] - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
+                both = np.bincount(owner[spots], minlength=len(held))
+                for k in np.flatnonzero(100 * both >= 75 * (sizes + len(s) - both)).tolist():
+                    if held[k][0] != label and spanning(joined_up, held[k][0], label):
+                        out["x"].append(held[k][0])
+                        out["y"].append(label)
             yield out
-        tokens, counts = np.unique(np.concatenate(kept), return_counts=True)
-        many = tokens[counts >= OFTEN]
-        if len(many):
-            none = [None] * len(many)
-            yield {"doc_id": none, "n": none, "cls": none, "tokens": none, "last": none, "steps": none, "often": many.tolist()}
-
-    return written(arrow_pass(docs.select("doc_id", "text"), work, "doc_id bigint, n bigint, cls bigint, tokens array<bigint>, last int, steps array<int>, often bigint", 100), "indexed")
 
-
-def note_of(last: str, n: str, place: str) -> F.Column:
-    return F.expr(f"shiftleft(cast({last} as bigint), 48) | shiftleft(cast({n} as bigint), 24) | cast({place} as bigint)")
+    return written(_pass(full.select("block", "_salt", "kind", "label", "set"), occur, "x bigint, y bigint").distinct(), "edges")
 
 
 def joined(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, cls and component_id (the smallest doc_id reachable by links, itself included) of every row."""
-    rows = indexed(docs)
-    known = rows.filter("n is not null")
-    classes = known.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
-    index = known.filter("tokens is not null").select("cls", "n", "last", F.posexplode("tokens").alias("place", "token")).select("token", "cls", note_of("last", "n", "place").alias("note"))
-    often = written(rows.filter("often is not null").select(F.col("often").alias("token")).distinct(), "often")
-    lists = written(listed(index, often), "lists")
-    found = written(candidates(lists), "candidates")
-
-    # Probe the likeliest candidates, then those that aren't in one component yet.
-    long = lists.filter("token is not null").select("token", F.col("x").alias("cls"))
-    sets = fetched(docs, classes, found.select(F.explode(F.array("x", "y")).alias("cls")))
-    links = written(probed(found.filter(F.col("place") < FIRST), sets), "links")
-    labels = components(links)
-    links = written(links.unionByName(probed(apart(found.filter(F.col("place") >= FIRST), labels), sets)), "links")
+    known, classes = classed(docs)
+    sets, index = ordered(*fetched(docs, classes))
+    pairs = written(candidates(index), "pairs")
+    links = written(probed(pairs, sets.filter("set is not null")), "links")
     labels = components(links)
-
-    links, labels = settled(docs, classes, known, long, links, labels)
+    if (more := settled(index, sets, labels)) is not None:
+        labels = components(labels.select("x", F.col("label").alias("y")).unionByName(more))
+    discard(sets, index, pairs, links)
 
     names = labels.join(classes, labels["x"] == classes["cls"]).select("cls", "label", "doc_id")
-    least = names.groupBy("label").agg(F.min("doc_id").alias("least"))
-    named = names.join(least, "label").select("cls", "least")
-    whole = classes.join(named, "cls", "left").select("cls", F.coalesce("least", "doc_id").alias("component_id"))
-    of = salted(known.select("doc_id", "n", "cls"), SALTS).alias("d").join(salt_copies(whole, SALTS).alias("c"), (F.col("d.cls") == F.col("c.cls")) & (F.col("d._salt") == F.col("c._salt")), "left")
-    return of.select("d.doc_id", F.col("d.n").alias("n_shingles"), "d.cls", F.when(F.col("d.cls").isNull(), F.col("d.doc_id")).otherwise(F.col("component_id")).alias("component_id"))
-
-
-def unsettled(long: DataFrame, labels: DataFrame) -> DataFrame:
-    """Of long lists (token, cls): those rows, with their labels, whose list has more than one label."""
-    named = written(long.distinct().join(labels.select(F.col("x").alias("cls"), "label"), "cls", "left").withColumn("label", F.coalesce("label", "cls")), "long")
-    open_lists = named.groupBy("token").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a < b").select("token")
-    return salted(named, SALTS).join(salt_copies(open_lists, SALTS), ["token", "_salt"]).drop("_salt")
-
-
-def narrowed(rest: DataFrame, known: DataFrame) -> DataFrame:
-    """Of open lists (token, cls): the rows of classes that could be similar to one they share such lists with alone.
-
-    Let two such sets differ in component. Up to where the first of their prefixes ends, what either has beside its long
-    shingles is missing in the other; it may miss no more than its size less the required overlap. Sizes go by steps of the
-    fourth root of 4/3. For each list and step it is known how early a prefix ends there; a class offers itself to the steps
-    whose sets it could be similar to by its own shingles, and stays where one of such a step offers itself to its own.
-    """
-    mine = rest.groupBy("cls").agg(F.count("*").alias("long"))
-    info = known.filter("tokens is not null").groupBy("cls").agg(F.any_value(F.struct("n", "last", "steps")).alias("i")).select("cls", "i.*")
-    info = info.join(mine, "cls").withColumn("size", F.floor(4 * F.log("n") / F.log(F.lit(4 / 3)) + 1e-9).cast("int"))
-    rows = written(rest.select("token", "cls").join(info, "cls"), "sized")
-    firsts = rows.groupBy("token", "size").agg(F.min("last").alias("least"), F.min("n").alias("lowest"), F.max("n").alias("highest"))
-    firsts = firsts.groupBy("token").agg(F.collect_list(F.struct("size", "least", "lowest", "highest")).alias("there"))  # a row for each step of sizes
-    # how much of a prefix comes before the end of another that ends at x.least at the earliest
-    before = f"if(x.least >= last or x.least >= {GRADES * STEP}, if(x.least >= last, n - floor((3 * n + 3) / 4) + 1, element_at(steps, {GRADES})), if(x.least < {STEP}, 0, element_at(steps, cast(floor(greatest(x.least, {STEP}) / {STEP}) as int))))"
-    other = "greatest(x.lowest, cast(ceil(3 * n / 4) as bigint))"
-    could = f"4 * x.highest >= 3 * n and 3 * x.lowest <= 4 * n and {before} - long <= n - floor((3 * (n + {other}) + 6) / 7)"
-    told = salted(rows, SALTS).join(salt_copies(firsts, SALTS), ["token", "_salt"])
-    offers = written(told.select("token", "cls", "size", F.explode(F.expr(f"transform(filter(there, x -> {could}), x -> x.size)")).alias("to")), "offers")
-    answers = offers.select("token", F.col("to").alias("size"), F.col("size").alias("to")).distinct()
-    return salted(offers, SALTS).join(salt_copies(answers, SALTS), ["token", "size", "to", "_salt"]).select("token", "cls").distinct()
-
-
-def reordered(sets: DataFrame) -> DataFrame:
-    """The index (token, cls, note, often) of sets in the order of how many of them have a shingle: up to SHORT count as none."""
-
-    def tokens(parts: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
-        for p in parts:
-            arrays = [np.frombuffer(s, np.int64) for s in p["set"]]
-            yield {"token": np.concatenate(arrays) if arrays else []}
-
-    counts = arrow_pass(sets.select("set"), tokens, "token bigint", 200).groupBy("token").agg(F.count("*").alias("often"))
-    frequent = written(counts.filter(F.col("often") > SHORT), "frequent")
-    if frequent.count() <= FEW_FREQUENT:
-        rows = frequent.toPandas().sort_values("token")
-        known, often = rows["token"].to_numpy(np.int64), rows["often"].to_numpy(np.int64)
-
-        def work(parts: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
-            for p in parts:
-                out: dict[str, list] = {"token": [], "cls": [], "note": [], "often": []}
-                for c, raw in zip(p["cls"], p["set"]):
-                    s = np.frombuffer(raw, np.int64)
-                    many = np.zeros(len(s), np.int64)
-                    if len(known):
-                        at = np.minimum(np.searchsorted(known, s), len(known) - 1)
-                        many = np.where(known[at] == s, often[at], 0)
-                    head = np.lexsort((s, many))[: prefix(len(s))]
-                    token, many = s[head], many[head]
-                    far = 16384 + min(16383, int(500 * np.log2(many[-1]))) if many[-1] else reached(int(token[-1]))
-                    out["token"] += token.tolist()
-                    out["cls"] += [c] * len(head)
-                    out["note"] += ((far << 48) | (len(s) << 24) | np.arange(len(head))).tolist()
-                    out["often"] += many.tolist()
-                yield out
-
-        return arrow_pass(sets.select("cls", "set"), work, "token bigint, cls bigint, note bigint, often bigint", 200)
-
-    def spread(parts: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
-        for p in parts:
-            arrays = [np.frombuffer(s, np.int64) for s in p["set"]]
-            sizes = [*map(len, arrays)]
-            yield {"cls": np.repeat(np.array(p["cls"], np.int64), sizes), "n": np.repeat(sizes, sizes), "token": np.concatenate(arrays) if arrays else []}
-
-    each = salted(arrow_pass(sets.select("cls", "set"), spread, "cls bigint, n bigint, token bigint", 200), SALTS)
-    flagged = each.join(salt_copies(frequent, SALTS), ["token", "_salt"], "left").select("cls", "n", "token", F.coalesce("often", F.lit(0)).alias("often"))
-    placed = flagged.withColumn("place", F.row_number().over(Window.partitionBy("cls").orderBy("often", "token")) - 1)
-    head = placed.filter("place < n - floor((3 * n + 3) / 4) + 1")
-    at = "case when often > 0 then 16384 + least(16383, cast(floor(500 * log2(often)) as int)) else cast(shiftrightunsigned(token ^ (-9223372036854775807L - 1L), 50) as int) end"
-    last = F.max("_at").over(Window.partitionBy("cls"))
-    return head.withColumn("_at", F.expr(at)).withColumn("last", last).select("token", "cls", note_of("last", "n", "place").alias("note"), "often")
-
-
-def settled(docs: DataFrame, classes: DataFrame, known: DataFrame, long: DataFrame, links: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """links and labels with those between classes that share shingles of long lists alone."""
-    rest = written(narrowed(written(unsettled(long, labels), "open"), known), "rest")
-    if rest.isEmpty():
-        return links, labels
-    # All shingles of these classes, the more frequent the later.
-    sets = fetched(docs, classes, rest)
-    index = written(reordered(sets), "index")
-    lists = written(listed(index.select("token", "cls", "note"), written(index.groupBy("token").count().filter(F.col("count") > SHORT).select("token"), "often")), "lists")
-    found = apart(candidates(lists), labels)
-    links = written(links.unionByName(probed(found, sets)), "links")
-    labels = components(links)
-    # What is left are sets of which three quarters are frequent shingles. One pass over the components as they are now
-    # meets any two that share a list; links found on the way only spare pairs.
-    long = written(lists.filter("token is not null").select("token", F.col("x").alias("cls")).distinct(), "long")
-    first = labels
-    on = written(ranked(long, first, sets), "on")
-    for after, last in rounds(on):
-        pairs = written(doubtful(on, sets, after, last), "pairs")
-        if pairs.isEmpty():  # no pair among these ranks; later ones may have some
-            continue
-        new = written(probed(apart(members(apart(pairs, labels), long, first), labels), sets), "links")
-        if not new.isEmpty():
-            links = written(links.unionByName(new), "links")
-            labels = components(links)
-    return links, labels
-
-
-def distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """x, y and the Jaccard distance of their sets."""
-
-    def work(parts: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
-        for p in parts:
-            far = []
-            for a, b in zip(p["a"], p["b"]):
-                one, two = np.frombuffer(a, np.int64), np.frombuffer(b, np.int64)
-                both = len(np.intersect1d(one, two, assume_unique=True))
-                far.append(1 - both / (len(one) + len(two) - both))
-            yield {"x": p["x"], "y": p["y"], "far": far}
-
-    return arrow_pass(with_sets(pairs, sets).select("x", "y", "a", "b"), work, "x bigint, y bigint, far double", 500)
-
-
-def ranked(long: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
-    """The components on each open list (token, label) with head, reach, n and rank: 0 for a list's largest one.
-
-    A component's head is the first of its members on lists, n the size of its set, and its reach the largest distance of a
-    member from it.
-    """
-    rest = written(unsettled(long, labels), "open")
-    heads = rest.groupBy("label").agg(F.min("cls").alias("head"))
-    held = rest.select("cls", "label").distinct().join(heads, "label")
-    reach = distances(held.select(F.col("cls").alias("x"), F.col("head").alias("y")), sets)
-    reach = reach.groupBy(F.col("y").alias("head")).agg(F.max("far").alias("reach"))
-    sizes = sets.select(F.col("cls").alias("head"), (F.length("set") / 8).alias("n"))
-    known = written(heads.join(reach, "head").join(sizes, "head").select("label", "head", "reach", "n"), "heads")
-    on = written(rest.groupBy("token", "label").agg(F.count("*").alias("many")).join(known, "label"), "on")
-    main = on.groupBy("token").agg(F.max(F.struct("many", "label")).alias("m")).select("token", F.col("m.label").alias("main"))
-    order = Window.partitionBy("token").orderBy(F.col("label") != F.col("main"), "label")
-    return on.join(main, "token").withColumn("rank", F.row_number().over(order) - 1).select("token", "label", "head", "reach", "n", "rank")
-
-
-def rounds(on: DataFrame) -> list[tuple[int, int]]:
-    """Ranges of rank (after, up to) that together hold every rank above 0: BLOCK each, or more up to FEW_PAIRS pairs."""
-    blocks = on.filter("rank > 0").groupBy(F.floor((F.col("rank") - 1) / BLOCK).alias("block")).agg(F.sum("rank").alias("pairs")).orderBy("block").collect()
-    out, after, held = [], 0, 0
-    for block, pairs in blocks:
-        if held and held + pairs > FEW_PAIRS:
-            out.append((after, block * BLOCK))
-            after, held = block * BLOCK, 0
-        held += pairs
-    return [*out, (after, (blocks[-1][0] + 1) * BLOCK)] if blocks else []
-
-
-def doubtful(on: DataFrame, sets: DataFrame, after: int, last: int) -> DataFrame:
-    """Pairs (x, y) of components on one long list that may hold similar sets, by the distance of their heads: those of a
-    rank above after and up to last with all of lower rank.
-
-    As the Jaccard distance keeps the triangle's inequality, sets of two components aren't similar where the heads are
-    farther apart than 1/4 and both reaches.
-    """
-    block = on.filter((F.col("rank") > after) & (F.col("rank") <= last)).select("token", F.col("head").alias("x"), F.col("rank").alias("of"), F.col("reach").alias("r"), F.col("n").alias("m"))
-    # sets that differ in size by more than the bound are farther apart than it
-    near = F.expr("rank < of and 1 - least(n, m) / greatest(n, m) <= 0.25 + r + reach + 1e-9")
-    pairs = block.join(on, "token").filter(near).select("x", F.col("head").alias("y"), (F.col("r") + F.col("reach")).alias("both")).distinct()
-    return distances(pairs, sets).join(pairs, ["x", "y"]).filter("far <= 0.25 + both + 1e-9").select("x", "y").distinct()
-
-
-def members(pairs: DataFrame, long: DataFrame, labels: DataFrame) -> DataFrame:
-    """All pairs of members on lists of pairs (x, y) of components' first members, where they share a list."""
-    named = long.join(labels.select(F.col("x").alias("cls"), "label"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-    of = named.select("cls", "label").distinct()
-    by = pairs.join(of.toDF("x", "a"), "x").join(of.toDF("y", "b"), "y").select("a", "b").distinct()
-    one = named.select("token", F.col("cls").alias("x"), F.col("label").alias("a"))
-    two = named.select("token", F.col("cls").alias("y"), F.col("label").alias("b"))
-    return one.join(by, "a").join(two, ["token", "b"]).select("x", "y").distinct()
+    least_of = names.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    named = salted(names, SALTS).join(salt_copies(least_of, SALTS), ["label", "_salt"]).select("cls", "component_id")
+    alone = classes.filter("copies > 1").join(labels.select(F.col("x").alias("cls")), "cls", "left_anti").select("cls", F.col("doc_id").alias("component_id"))
+    whole = salt_copies(named.unionByName(alone).withColumn("named", F.lit(True)), SALTS).alias("c")
+    rows = salted(known, SALTS).alias("d").join(whole, F.expr("d.cls = c.cls and d._salt = c._salt"), "left")
+    return rows.select("d.doc_id", F.col("d.n").alias("n_shingles"), "d.cls", F.when(F.col("named"), F.col("component_id")).otherwise(F.col("d.doc_id")).alias("component_id"))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """One row of each component stays, that of its smallest doc_id (null only where no other has one); rows without
-    shingles all stay. Other columns are kept. Of rows alike in doc_id and set, any one stays.
+    shingles all stay. Other columns are kept, whatever their names. Of rows alike in doc_id and set, any one stays.
 
     What goes is sent to the texts where it is few (FEW_IDS), and joined with them beyond that.
     """
@@ -572,17 +556,17 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     odd = written(told.filter("keeper is null or n > 1"), "odd")
     if not (n := odd.count()):
         return docs
-    schema = docs.selectExpr("*", "cast(null as bigint) as _cls").schema
+    own, one, of, kept = fresh(docs, "cls", "id", "of", "keeper")
+    schema = docs.selectExpr("*", f"cast(null as bigint) as `{own}`").schema
 
     def work(parts: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
         for p in parts:
-            yield p | {"_cls": [*map(class_of, shingle_sets(p["text"]))]}
-
-    known = arrow_pass(docs, work, schema, 500).alias("d")
-    side = odd.select(F.col("doc_id").alias("_id"), F.col("cls").alias("_of"), F.col("keeper").alias("_keeper"))
-    marked = known.join(F.broadcast(side) if n <= FEW_IDS else side, F.expr("doc_id <=> _id and _cls = _of"), "left")
-    single = marked.filter("_of is null")
-    twice = odd.filter("keeper")
-    if twice.isEmpty():
-        return single.select(*docs.columns)
-    return single.select(*docs.columns).unionByName(marked.filter("_keeper").dropDuplicates(["doc_id", "_cls"]).select(*docs.columns))
+            yield p | {own: [*map(class_of, shingle_sets(p["text"]))]}
+
+    known = arrow_pass(docs, work, schema, 500)
+    side = odd.select(F.col("doc_id").alias(one), F.col("cls").alias(of), F.col("keeper").alias(kept))
+    marked = known.join(F.broadcast(side) if n <= FEW_IDS else side, F.expr(f"doc_id <=> `{one}` and `{own}` = `{of}`"), "left")
+    single = marked.filter(f"`{of}` is null").select(*docs.columns)
+    if odd.filter("keeper").isEmpty():
+        return single
+    return single.unionByName(marked.filter(f"`{kept}`").dropDuplicates(["doc_id", own]).select(*docs.columns))

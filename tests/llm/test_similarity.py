@@ -56,29 +56,35 @@ def corpus(rng, n=260):
     return [*texts, None, "", " \n", "four words are here", "FOUR  words\tare here", "x", texts[0], texts[0].upper()]
 
 
-@pytest.mark.parametrize("short, often, block", [(64, 32, 64), (3, 2, 2)])
-def test_join(docs, monkeypatch, short, often, block):
-    monkeypatch.setattr(ngram_join, "SHORT", short)
-    monkeypatch.setattr(ngram_join, "OFTEN", often)
-    monkeypatch.setattr(ngram_join, "BLOCK", block)
+@pytest.mark.parametrize("short, block, chunk", [(64, 64, 1 << 20), (3, 2, 500), (1, 1, 1)])
+def test_join(docs, monkeypatch, short, block, chunk):
+    """The small values make most lists long, blocks of one or two classes, and a chunk and a bucket of few documents."""
+    for name, value in (("SHORT", short), ("BLOCK", block), ("CHUNK", chunk)):
+        monkeypatch.setattr(ngram_join, name, value)
+    open_lists = []
+    settled = ngram_join.settled
+    monkeypatch.setattr(ngram_join, "settled", lambda *a: open_lists.append(settled(*a)) or open_lists[-1])
     texts = corpus(random.Random(short))
     ids = [*range(len(texts) - 2), 7, None]
-    rows = ngram_join.joined(docs(texts, ids, n=["c"] * len(texts), cls=["d"] * len(texts))).collect()
+    rows = ngram_join.joined(docs(texts, ids, n=["c"] * len(texts), cls=["d"] * len(texts), _salt=["e"] * len(texts))).collect()
     assert sorted(((r["doc_id"] is None, r["doc_id"] or 0, r["n_shingles"], r["component_id"]) for r in rows), key=str) == brute(texts, ids)
-
-
-def test_links_beyond_the_first_block(spark, monkeypatch):
-    """One long list of six classes, of which 4 and 5 alone are similar; the first block holds class 1."""
-    sets = {k: range(100 * k, 100 * k + 8) for k in range(1, 7)} | {5: range(401, 409)}
-    rows = [(k, np.array(s, np.int64).tobytes()) for k, s in sets.items()]
-    held = spark.createDataFrame([(k, bytearray(b)) for k, b in rows], "cls bigint, set binary")
-    index = spark.createDataFrame([(1, k, ngram_join.noted(20000, 8, 0), 6) for k in sets], "token bigint, cls bigint, note bigint, often bigint")
-    for name, value in (("SHORT", 2), ("BLOCK", 1), ("FEW_PAIRS", 6), ("narrowed", lambda rest, known: rest), ("fetched", lambda *a: held), ("reordered", lambda sets: index)):
-        monkeypatch.setattr(ngram_join, name, value)
-    none = lambda schema: spark.createDataFrame([], schema)
-    links, labels = ngram_join.settled(held, held, held, index.select("token", "cls"), none("x bigint, y bigint"), none("x bigint, label bigint"))
-    assert {frozenset(r) for r in links.collect()} == {frozenset((4, 5))}
-    assert {(r["x"], r["label"]) for r in labels.collect()} == {(4, 4), (5, 4)}
+    assert short > 3 or open_lists[0] is not None
+
+
+def test_links_on_long_lists_alone(docs, monkeypatch):
+    """Many variants of one text, each far from the one that shares most; some of them near each other."""
+    monkeypatch.setattr(ngram_join, "SHORT", 4)
+    monkeypatch.setattr(ngram_join, "BLOCK", 3)
+    rng = random.Random(11)
+    base = [f"w{k}" for k in range(120)]
+    texts = [" ".join(base)]
+    for k in range(40):
+        made = [*base]
+        for at in rng.sample(range(30 * (k % 4), 30 * (k % 4) + 30), rng.randint(3, 5)):
+            made[at] = f"v{rng.randrange(2)}"
+        texts.append(" ".join(made))
+    rows = ngram_join.joined(docs(texts)).collect()
+    assert sorted(((r["doc_id"] is None, r["doc_id"] or 0, r["n_shingles"], r["component_id"]) for r in rows), key=str) == brute(texts, range(len(texts)))
 
 
 def test_join_of_nothing(docs):
@@ -100,8 +106,24 @@ def test_merging_and_bounds():
     assert [*ngram_join.merged([])] == []
     for n in range(1, 60):
         for m in range(1, 60):
-            least = next(c for c in range(200) if 100 * c >= 75 * (n + m - c))
-            assert ngram_join.required(n, m) == least
+            fewest = next(c for c in range(200) if 100 * c >= 75 * (n + m - c))
+            assert ngram_join.required(n, m) == fewest
+            if fewest <= min(n, m):
+                assert fewest >= ngram_join.least(max(n, m)) and ngram_join.prefix(max(n, m)) >= max(n, m) - fewest + 1 and ngram_join.indexed(min(n, m)) >= min(n, m) - fewest + 1
+                assert 3 * n <= 4 * m and m <= 4 * n // 3 and m >= (3 * n + 3) // 4
+
+
+def test_grades_keep_the_order():
+    counts = np.unique(np.concatenate([np.arange(1, 300), 2 ** np.arange(8, 40)]))
+    grades = ngram_join.graded(counts).astype(int)
+    assert (np.diff(grades) >= 0).all() and (grades[:64] == np.arange(1, 65)).all() and (grades[64:] > 64).all()
+
+
+def test_deduplicated_keeps_columns_of_any_name(docs):
+    text = "one two three four five six seven eight"
+    df = docs([text, text], [3, 1], cls=["a", "b"], _cls=["c", "d"], id=["e", "f"], of=["g", "h"], Keeper=["i", "j"], _salt=["k", "l"])
+    kept = ngram_join.deduplicated(df)
+    assert kept.columns == df.columns and [tuple(r) for r in kept.collect()] == [(1, text, "b", "d", "f", "h", "j", "l")]
 
 
 def test_words_are_hashed_as_split():
