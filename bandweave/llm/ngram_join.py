@@ -207,7 +207,7 @@ def classed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
         def chunk() -> Iterator[dict[str, list]]:
             known: list[int | None] = [None] * len(ids)
-            rows = {"doc_id": [*ids], "n": [*sizes], "cls": [*classes], "known": known, "part": [(c or k) % (1 << bits) for k, c in enumerate(classes)]}
+            rows = {"doc_id": [*ids], "n": [*sizes], "cls": [*classes], "known": known, "part": [k % (1 << bits) for k in range(len(ids))]}
             if kept:
                 own, at = np.array([*first]), [*first.values()]
                 owner = np.repeat(np.arange(len(kept)), [*map(len, kept)])

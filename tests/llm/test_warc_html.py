@@ -92,6 +92,24 @@ def test_alignment_is_the_largest():
         assert len(pairs) == matching(0, 0, one, two, kids) and len({a for a, _ in pairs}) == len(pairs)
 
 
+def test_halved_tables_give_the_same(monkeypatch):
+    import random
+
+    import numpy as np
+
+    rng = random.Random(5)
+    for _ in range(40):
+        rows, columns = (np.array([rng.randrange(4) for _ in range(rng.randint(1, 14))]) for _ in range(2))
+        weight = np.array([[rng.choice([0, 0, 1, 3]) for _ in range(4)] for _ in range(4)])
+        total = lambda pairs: sum(weight[rows[i], columns[j]] for i, j in pairs)
+        whole = wrapper.best_pairs(rows, columns, weight)
+        with monkeypatch.context() as m:
+            m.setattr(wrapper, "CELLS", 3)
+            halved = wrapper.best_pairs(rows, columns, weight)
+        for pairs in (whole, halved):
+            assert all(a < c and b < d for (a, b), (c, d) in zip(pairs, pairs[1:])) and total(pairs) == total(whole)
+
+
 def test_template_of_a_host(pages):
     body = "<body><div><p>Our site, since 1990</p><p>{0} is what this page is about</p><p>Second {0}</p></div></body>"
     rows = [(k, f"https://www.A.example/{k}?q", body.format(f"Topic {k}")) for k in range(8)] + [(90, "https://b.example/", body.format("Other")), (91, None, body.format("None"))]
@@ -100,3 +118,41 @@ def test_template_of_a_host(pages):
     assert len(got) == len(rows) and got[3] == "Topic 3 is what this page is about\nSecond Topic 3" and got[105] == got[1]
     assert got[90].startswith("Our site") and got[91].startswith("Our site")
     assert wrapper.extract(pages(rows).limit(0)).isEmpty()
+
+
+def words(rng, n):
+    return " ".join(rng.choices(["alpha", "beta", "gamma", "delta", "omega", "sigma", "tau"], k=n))
+
+
+def test_the_wrapper_is_found_by_structure(pages):
+    """No element or name tells here what the article is; adverts, menus and last lines differ from page to page."""
+    import random
+
+    rng = random.Random(8)
+    rows, want = [], {}
+    for k in range(12):
+        paragraphs = [words(rng, rng.randint(20, 60)) for _ in range(rng.randint(1, 9))]
+        want[k] = "\n".join([f"Title {k}", *paragraphs])
+        links = "".join(f"<li><a href=/{j}>{words(rng, 2)}</a></li>" for j in range(rng.randint(2, 6)))
+        rows.append((k, "https://x.example/", f"<body><div class=q1><ul>{links}</ul></div><div class=q2>{words(rng, 6)}</div><div class=q3><h1>Title {k}</h1>{''.join(f'<p>{p}</p>' for p in paragraphs)}<p><a href=/>{words(rng, 3)}</a></p></div><div class=q4>{words(rng, 4)}</div></body>"))
+    odd = "<body><div class=z><p>Another layout, once</p></div></body>"
+    got = {r["page_id"]: r["text"] for r in wrapper.extract(pages([*rows, (50, "https://x.example/odd", odd)])).collect()}
+    for k in want:
+        assert got[k].startswith(want[k]) and got[k].count("\n") <= want[k].count("\n") + 1
+    assert got[50] == "Another layout, once"
+    alone = [wrapper.extracted(html) for _, _, html in rows]
+    assert all(a != got[k] for k, a in enumerate(alone))
+
+
+def test_parts_of_an_article_stay():
+    page = "<article><p>One</p><section class='related-work'><p>Two</p></section><div class=discussion><p>Three <a href=/>x</a></p></div><div class=related><a href=/>more</a></div></article>"
+    assert wrapper.extracted(page) == "One\nTwo\nThree x"
+
+
+def test_deep_and_hostile_pages(pages):
+    deep = ["<p>" + "<b>" * 6000 + "bold", "<div>" * 6000 + "in", "<a " * 20000, "<a x='" * 5001 + ">t", "</b>" * 50000 + "x", "<ul>" + "<li><p>q</p></li>" * 4000 + "</ul>", "<p " + "a" * 9000 + ">long attribute"]
+    rows = [(k, "https://deep.example/", f"{d} {j}") for j in range(6) for k, d in [(10 * j + i, x) for i, x in enumerate(deep)]]
+    got = {r["page_id"]: r["text"] for r in wrapper.extract(pages([*rows, (99, "https://deep.example/", None)])).collect()}
+    assert len(got) == len(rows) + 1 and got[99] == "" and got[56].startswith("long attribute")
+    one, two = wrapper.shape_of("<div>" * 3000 + "x"), wrapper.shape_of("<div>" * 2999 + "<p>y")
+    assert len(wrapper.aligned(one, two)) == 3000
