@@ -6,6 +6,10 @@ or brackets become @ and a full stop; spelled digits become digits. The detector
 text; what they find in the latter is mapped back. Spans in the source itself (base) stay as they are; a disguised one
 is added unless a base span of its kind holds it.
 
+Disguised addresses have a bracketed at, or a spelled one with a spelled dot and a known top-level domain, or an @ among
+blanks with such a domain. A spelled at before a plain full stop ("look at example.com") isn't taken: it is prose more often.
+Neither blanks nor names nor rows of digits are bounded in length.
+
 Null and empty texts have no spans. Rows, repeated or not, are worked on one by one; further columns stay as they are,
 and an input column named like the output is replaced. Texts are read whole, in linear time.
 """
@@ -14,6 +18,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,11 +28,10 @@ from bandweave.llm.common import arrow_pass
 
 KINDS = ("email", "ip", "card", "phone")
 
-LOCAL = re.compile(r"[A-Za-z0-9._%+-]+")
-LOCAL_BACKWARDS = re.compile(r"[A-Za-z0-9._%+-]*\Z")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+# A match begins with the first digit of a row and takes rows whole, so that rows of any length are read a few times at most.
+IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile("[0-9]")
@@ -123,47 +127,58 @@ def homoglyphs(m: Mapped) -> Mapped:
 # Words for at and dot in English, Spanish, German and French, and common top-level domains.
 AT_WORDS, DOT_WORDS = "at|arroba|arobase", "dot|punto|punkt|point"
 TOP_LEVEL = frozenset("com org net edu gov mil int info biz io co me dev app eu de fr es uk us ca au ch at it nl be se no dk fi pl pt ru br in jp cn".split())
-BRACKETED_DOT = rf"\s{{0,3}}[\[({{<]\s{{0,3}}(?:{DOT_WORDS}|\.)\s{{0,3}}[\])}}>]\s{{0,3}}"
-DOT = rf"(?:{BRACKETED_DOT}|\s{{1,3}}(?:{DOT_WORDS})\s{{1,3}}|\.)"
-BRACKETED_AT = rf"\s{{0,3}}[\[({{<]\s{{0,3}}(?:{AT_WORDS}|@)\s{{0,3}}[\])}}>]\s{{0,3}}"
-# A local part has up to 64 characters and a label up to 63, as in the standards of mail and host names.
-DISGUISED_MAIL = re.compile(rf"(?<![A-Za-z0-9._%+-])([A-Za-z0-9_%+-]{{1,64}}(?:{DOT}[A-Za-z0-9_%+-]{{1,64}}){{0,4}}?)(?:({BRACKETED_AT})|(\s{{1,3}}(?:{AT_WORDS})\s{{1,3}}|\s{{0,3}}@\s{{0,3}}))([A-Za-z0-9-]{{1,63}}(?:{DOT}[A-Za-z0-9-]{{1,63}}){{1,8}})", re.I)
-DOT_ONLY = re.compile(DOT, re.I)
-HINT = re.compile(rf"[\[({{<]\s{{0,3}}(?:{AT_WORDS}|@|{DOT_WORDS}|\.)\s{{0,3}}[\])}}>]|\s(?:{DOT_WORDS})\s", re.I)
-DOT_NEAR = 400
+# Blanks in front belong to a match from their first one on, so that a row of blanks is read once.
+DOT = re.compile(rf"(?<!\s)(?:\s*+[\[({{<]\s*+(?:{DOT_WORDS}|\.)\s*+[\])}}>]\s*+|\s++(?:{DOT_WORDS})\s++)|\.", re.I)
+AT = re.compile(rf"(?<!\s)(?:\s*+[\[({{<]\s*+(?P<bracketed>{AT_WORDS}|@)\s*+[\])}}>]\s*+|\s++(?P<spelled>{AT_WORDS})\s++|\s*+@\s*+)", re.I)
+HINT = re.compile(rf"[\[({{<]\s*+(?:{AT_WORDS}|@|{DOT_WORDS}|\.)\s*+[\])}}>]|\s(?:{DOT_WORDS})\s|\s@|@\s", re.I)
+NAME_CHARS = LOCAL_CHARS - {"."}
+LABEL = re.compile(r"[A-Za-z0-9-]++")
 
 
 def at_and_dot(m: Mapped) -> Mapped:
-    """Mail addresses with bracketed or spelled at and dot. In words alone, a known top-level domain must follow."""
+    """Mail addresses with bracketed or spelled at and dot. In words alone, a known top-level domain must follow.
+
+    From each at the names before it and the labels behind it are followed from dot to dot; what two ats pass over doesn't
+    overlap, so that a text is read a few times at most.
+    """
+    if not HINT.search(m.text):
+        return m
     edits: list[tuple[int, int, str]] = []
     text, done = m.text, 0
-    for hint in HINT.finditer(text):
-        if hint.start() < done:
+    dots = [x.span() for x in DOT.finditer(text)]
+    ends, starts = {b: a for a, b in dots}, dict(dots)
+    for x in AT.finditer(text):
+        at, behind = x.span()
+        labels: list[tuple[int, int]] = []  # from, to
+        here = behind
+        while (label := LABEL.match(text, here)) is not None:
+            labels.append(label.span())
+            if (here := starts.get(label.end(), -1)) < 0:
+                break
+        if len(labels) < 2 or at < done:
+            continue
+        if not x["bracketed"]:
+            spelled = any(text[b] != "." or c - b > 1 for (_, b), (c, _) in zip(labels, labels[1:]))
+            while labels and text[slice(*labels[-1])].lower() not in TOP_LEVEL:
+                labels.pop()
+            if len(labels) < 2 or x["spelled"] and not spelled:
+                continue
+        first, joints = at, []
+        while first > done and text[first - 1] in NAME_CHARS:
+            while first > done and text[first - 1] in NAME_CHARS:
+                first -= 1
+            dot = ends.get(first, -1)
+            if dot <= done or text[dot - 1] not in NAME_CHARS:
+                break
+            joints.append((dot, first))
+            first = dot
+        if first == at:
             continue
-        for x in DISGUISED_MAIL.finditer(text, max(done, hint.start() - DOT_NEAR), hint.end() + DOT_NEAR):
-            dots = DOT_ONLY.findall(x[4])
-            spelled = any(d.strip() != "." for d in dots)
-            host = DOT_ONLY.sub(".", x[4])
-            if not x[2]:
-                labels = host.split(".")
-                while labels and labels[-1].lower() not in TOP_LEVEL:
-                    labels.pop()
-                if not spelled or len(labels) < 2:
-                    continue
-                end = x.start(4)
-                for k, d in enumerate([*DOT_ONLY.finditer(x[4]), None]):
-                    if k == len(labels) - 1:
-                        end = x.start(4) + (d.start() if d else len(x[4]))
-                        break
-                host = ".".join(labels)
-            else:
-                end = x.end()
-            parts = [(x.start(1) + d.start(), x.start(1) + d.end(), ".") for d in DOT_ONLY.finditer(x[1]) if d.group() != "."]
-            sign = x.span(2) if x[2] else x.span(3)
-            parts += [(*sign, "@")] if text[slice(*sign)] != "@" else []
-            parts += [(x.start(4) + d.start(), x.start(4) + d.end(), ".") for d in DOT_ONLY.finditer(x[4]) if d.group() != "." and x.start(4) + d.end() < end]
-            edits += parts
-            done = max(done, end)
+        joints += [(b, c) for (_, b), (c, _) in zip(labels, labels[1:])]
+        edits += [(*joint, ".") for joint in joints if text[slice(*joint)] != "."]
+        if text[at:behind] != "@":
+            edits.append((at, behind, "@"))
+        done = labels[-1][1]
     return m.replaced(sorted(set(edits)))
 
 
@@ -176,9 +191,9 @@ DIGIT_NAMES = {
 }
 SPELLED = {lang: {name: str(k) for k, name in enumerate(names.split())} for lang, names in DIGIT_NAMES.items()}
 #: Two digit names in a row: what a text must have to be read for spelled digits.
-ROW = {lang: re.compile(rf"\b(?:{'|'.join(names)})[\s,.-]{{1,3}}(?:{'|'.join(names)})\b", re.I) for lang, names in SPELLED.items()}
+ROW = {lang: re.compile(rf"\b(?:{'|'.join(names)})[\s,.-]++(?:{'|'.join(names)})\b", re.I) for lang, names in SPELLED.items()}
 ANY_ROW = re.compile("|".join(f"(?:{p.pattern})" for p in ROW.values()), re.I)
-RUN = {lang: re.compile(rf"(?<!\w)(?:(?:plus|\+)[\s-]{{0,3}})?(?:{'|'.join(names)}|[0-9]+)(?:[\s,-]{{1,3}}(?:{'|'.join(names)}|[0-9]+|(?:{DOT_WORDS})(?=[\s,-]))|\.(?=[0-9]))*(?!\w)", re.I) for lang, names in SPELLED.items()}
+RUN = {lang: re.compile(rf"(?<!\w)(?:(?:plus|\+)[\s-]*+)?(?:{'|'.join(names)}|[0-9]+)(?:[\s,-]++(?:{'|'.join(names)}|[0-9]+|(?:{DOT_WORDS})(?=[\s,-]))|\.(?=[0-9]))*(?!\w)", re.I) for lang, names in SPELLED.items()}
 ATOM = re.compile(rf"plus|\+|{DOT_WORDS}|[0-9]|[^\W\d_]+|\.", re.I)
 #: Fewer digits than this in a row stay as they are written.
 LEAST_DIGITS = 4
@@ -213,12 +228,15 @@ def spans(text: str | None) -> list[tuple[str, int, int, bool]]:
         return []
     base = plain(text)
     found = {(k, a, b): True for k, a, b in base}
+    begins = {kind: [a for k, a, _ in base if k == kind] for kind in KINDS}
+    ends = {kind: [b for k, _, b in base if k == kind] for kind in KINDS}
     m = Mapped(text) if ODD.search(text) or HINT.search(text) or ANY_ROW.search(text) else None
     if m is not None:
         m = spelled_digits(at_and_dot(homoglyphs(m)))
         for kind, a, b in plain(m.text) if m.text != text else ():
             a, b = m.source(a, b)
-            if not any(k == kind and x <= a and b <= y for k, x, y in base):
+            at = bisect_right(begins[kind], a) - 1  # base spans of a kind don't overlap
+            if at < 0 or ends[kind][at] < b:
                 found[(kind, a, b)] = False
     return [(*key, kept) for key, kept in sorted(found.items(), key=lambda x: (x[0][1], KINDS.index(x[0][0]), x[0][2]))]
 
