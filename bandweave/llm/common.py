@@ -93,11 +93,20 @@ def arrow_pass(df: DataFrame, work: Callable[[Iterator[dict[str, list]]], Iterat
     return df.mapInArrow(run, out)
 
 
-def salted(df: DataFrame, n: int) -> DataFrame:
-    """df with a column _salt from 0 to n - 1, dealt by a hash of the whole row's position in its task: spreads a hot key."""
-    return df.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(n)).cast("int"))
+def salted(df: DataFrame, n: int, name: str = "_salt") -> DataFrame:
+    """df with a column from 0 to n - 1, dealt by the row's position in its task: spreads a hot key."""
+    return df.withColumn(name, F.pmod(F.monotonically_increasing_id(), F.lit(n)).cast("int"))
 
 
-def salt_copies(df: DataFrame, n: int) -> DataFrame:
-    """Each row of df (one per key) n times, with _salt from 0 to n - 1."""
-    return df.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+def salt_copies(df: DataFrame, n: int, name: str = "_salt") -> DataFrame:
+    """Each row of df (one per key) n times, with a column from 0 to n - 1."""
+    return df.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+
+
+def aside(df: DataFrame, *names: str) -> tuple[DataFrame, dict[str, str]]:
+    """df without columns of these names, whatever their case, and what they are called meanwhile: for steps that make
+    columns of such names from a table that has some of its own."""
+    taken = {n.lower() for n in names}
+    clash = [c for c in df.columns if c.lower() in taken]
+    called = dict(zip(clash, fresh(df.select(*[f"`{c}`" for c in df.columns]), *[f"{c}_own" for c in clash])))
+    return df.withColumnsRenamed(called), called

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bandweave.llm.common import salt_copies, salted
+from bandweave.llm.common import fresh, salt_copies, salted
 
 LEAST_WORDS, MOST_REPEATED, MOST_SYMBOLS, MOST_DUP_LINES = 10, 20, 10, 30
 #: A host fails where a rule's shrunk failure rate is above this.
@@ -34,6 +34,10 @@ SPACE = " \\t\\n\\u000b\\u000c\\r"
 SYMBOLS = "#*$%&|<>"
 
 
+#: The columns that features() and judged() make.
+MADE = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed", "host_failed", "kept")
+
+
 def features(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words and base_failed of their texts.
 
@@ -41,24 +45,25 @@ def features(docs: DataFrame, text: str = "text") -> DataFrame:
     64-bit hashes of their words. A text without a repeated window is told by its count of distinct hashes; only others
     are sorted.
     """
-    new = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed"]
-    df = docs.drop(*new).withColumn("_text", F.coalesce(F.col(text), F.lit("")))
-    df = df.withColumn("_words", F.expr(f"array_remove(split(translate(_text, '{SPACE}', '      '), ' '), '')"))
-    df = df.withColumn("_lines", F.expr(f"filter(split(_text, '\\n'), x -> length(btrim(x, '{SPACE}')) > 0)"))
+    docs = docs.drop(*MADE[:-2])
+    _text, _words, _lines, _windows = fresh(docs, "text_", "words_", "lines_", "windows_")
+    df = docs.withColumn(_text, F.coalesce(F.col(text), F.lit("")))
+    df = df.withColumn(_words, F.expr(f"array_remove(split(translate({_text}, '{SPACE}', '      '), ' '), '')"))
+    df = df.withColumn(_lines, F.expr(f"filter(split({_text}, '\\n'), x -> length(btrim(x, '{SPACE}')) > 0)"))
     df = df.select(
-        *[c for c in df.columns if c not in ("_text", "_words", "_lines")],
-        F.expr("cast(size(_words) as bigint)").alias("n_words"),
-        F.expr(f"cast(length(translate(_text, '{SPACE}', '')) as bigint)").alias("word_chars"),
-        F.expr(f"cast(length(_text) - length(translate(_text, '{SYMBOLS}', '')) as bigint)").alias("n_symbols"),
-        F.expr("cast(size(_lines) as bigint)").alias("n_lines"),
-        F.expr("cast(size(_lines) - size(array_distinct(_lines)) as bigint)").alias("n_dup_lines"),
-        F.expr("case when size(_words) >= 5 then transform(sequence(0, size(_words) - 5), i -> xxhash64(_words[i], _words[i + 1], _words[i + 2], _words[i + 3], _words[i + 4])) else array() end").alias("_windows"),
+        *[f"`{c}`" for c in docs.columns],
+        F.expr(f"cast(size({_words}) as bigint)").alias("n_words"),
+        F.expr(f"cast(length(translate({_text}, '{SPACE}', '')) as bigint)").alias("word_chars"),
+        F.expr(f"cast(length({_text}) - length(translate({_text}, '{SYMBOLS}', '')) as bigint)").alias("n_symbols"),
+        F.expr(f"cast(size({_lines}) as bigint)").alias("n_lines"),
+        F.expr(f"cast(size({_lines}) - size(array_distinct({_lines})) as bigint)").alias("n_dup_lines"),
+        F.expr(f"case when size({_words}) >= 5 then transform(sequence(0, size({_words}) - 5), i -> xxhash64({_words}[i], {_words}[i + 1], {_words}[i + 2], {_words}[i + 3], {_words}[i + 4])) else array() end").alias(_windows),
     )
     # A lambda over a one-element array names a value that is used more than once.
-    repeated = "transform(array(array_sort(transform(_windows, (h, i) -> struct(h, i)))), s -> array_sort(transform(filter(s, (e, k) -> (k > 0 and get(s, k - 1).h = e.h) or get(s, k + 1).h = e.h), e -> e.i)))[0]"
+    repeated = f"transform(array(array_sort(transform({_windows}, (h, i) -> struct(h, i)))), s -> array_sort(transform(filter(s, (e, k) -> (k > 0 and get(s, k - 1).h = e.h) or get(s, k + 1).h = e.h), e -> e.i)))[0]"
     covered = f"transform(array({repeated}), p -> aggregate(transform(p, (x, k) -> least(5, coalesce(get(p, k + 1) - x, 5))), 0L, (a, x) -> a + x))[0]"
-    df = df.withColumn("n_repeat_words", F.expr(f"case when size(array_distinct(_windows)) = size(_windows) then 0L else {covered} end"))
-    return df.drop("_windows").withColumn("base_failed", F.expr(f"{RULES['short']} or {RULES['repeated']}"))
+    df = df.withColumn("n_repeat_words", F.expr(f"case when size(array_distinct({_windows})) = size({_windows}) then 0L else {covered} end"))
+    return df.drop(_windows).withColumn("base_failed", F.expr(f"{RULES['short']} or {RULES['repeated']}"))
 
 
 def host_verdicts(rows: DataFrame, host: str = "source") -> DataFrame:
@@ -78,10 +83,12 @@ def host_verdicts(rows: DataFrame, host: str = "source") -> DataFrame:
 
 def judged(rows: DataFrame, verdicts: DataFrame, host: str = "source") -> DataFrame:
     """rows (of features()) with host_failed and kept."""
-    bad = salt_copies(verdicts.filter("host_failed").select(F.col("host").alias("_host"), F.lit(True).alias("_bad")), SALTS)
-    rows = salted(rows.drop("host_failed", "kept"), SALTS).alias("r")
-    joined = rows.join(bad.alias("b"), (F.col(f"r.{host}") == F.col("b._host")) & (F.col("r._salt") == F.col("b._salt")), "left").select("r.*", F.coalesce("b._bad", F.lit(False)).alias("host_failed"))
-    return joined.drop("_salt").withColumn("kept", F.expr("not base_failed and not host_failed"))
+    rows = rows.drop("host_failed", "kept")
+    salt, of, known, bad = fresh(rows, "salt", "of", "known", "bad")
+    few = salt_copies(verdicts.filter("host_failed").select(F.col("host").alias(of), F.lit(True).alias(bad)), SALTS, known)
+    joined = salted(rows, SALTS, salt).join(few, (F.col(host) == F.col(of)) & (F.col(salt) == F.col(known)), "left")
+    joined = joined.select(*[f"`{c}`" for c in rows.columns], F.coalesce(bad, F.lit(False)).alias("host_failed"))
+    return joined.withColumn("kept", F.expr("not base_failed and not host_failed"))
 
 
 def _oracle() -> str:

@@ -2,15 +2,16 @@
 
 A word's embedding is the sum of its own bucket's and its beginning's. Filters of several widths run over the words of
 the whole text and keep their largest response (max pooling); a logistic layer reads the pooled responses. The first
-component of a bucket starts as how far its share of toxic documents exceeds what chance allows, counted on one half of
-the training rows; the rest is trained with Adam on a quarter, and calibrated on that and the last one. A last step fits a shift of the
-logit for each language, told by function words of the text, so that 0.5 is the best threshold in each. Labels, lang,
+component of a bucket starts as how far its share of toxic documents exceeds what chance allows, counted on one third of
+the training rows; the rest is trained with Adam on the second, and calibrated on the last one, which neither has seen. That
+fits a shift of the logit, so that 0.5 is the threshold of the fewest errors, for all and then for each language, told by
+function words of the text; of a language's thresholds, one far from the common one must save more errors. Labels, lang,
 source and doc_id are never inputs of a score.
 
 The model is fitted in one task, on at most TRAIN_ROWS labelled rows and TRAIN_CHARS characters, chosen by a hash of
-doc_id; every row is scored, over its whole text. Without labelled rows the score is 0.5 less a little for all. Null and
-empty texts are scored by the model's bias alone. Repeated rows are scored alike; labels of unknown documents and null
-labels count for nothing; input columns named like the outputs are replaced.
+doc_id; every row is scored, over its whole text. Without labelled rows, or with labels of one kind alone, all scores are
+below 0.5 and near the same. Null and empty texts are scored by the model's bias alone. Repeated rows are scored alike; a
+document's several labels are as many training rows; labels of unknown documents and null labels count for nothing; input columns named like the outputs are replaced.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ TRAIN_ROWS, TRAIN_CHARS = 8000, 40_000_000
 BUCKETS, SIZE, WIDTHS, FILTERS = 1 << 15, 12, (1, 2, 3), 8
 EPOCHS, BATCH, RATE, SEED = 4, 32, 0.01, 7
 BEGINNING = 5
+#: Errors that a threshold must save for each unit of the logit that it lies off the usual one.
+PULL = 0.3
 EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 # Frequent function words of four languages.
 FUNCTION_WORDS = {
@@ -150,17 +153,25 @@ class Model:
                     np.add.at(self.embed, np.concatenate(rows).ravel(), -0.5 * np.concatenate([v.reshape(-1, SIZE) for v in values]))
 
     def calibrate(self, words: Words, labels: np.ndarray) -> None:
-        """For each language the threshold of the fewest errors becomes the shift that puts 0.5 there."""
-        logits, langs = self.logits(words), words.languages()
-        for lang in [-1, *range(len(LANGUAGES))]:
-            own = langs == lang
-            if own.sum() < 20 or labels[own].min() == labels[own].max():
-                continue
+        """The threshold of the fewest errors becomes the shift that puts 0.5 there: for all rows, then for each language."""
+
+        def threshold(own: np.ndarray, usual: float) -> float:
             order = np.argsort(logits[own])
             x, y = logits[own][order], labels[own][order]
+            cuts = np.concatenate([[x[0] - 1], (x[1:] + x[:-1]) / 2, [x[-1] + 1]])
             errors = np.concatenate([[0], np.cumsum(y)]) + np.concatenate([np.cumsum((1 - y)[::-1])[::-1], [0]])
-            errors = errors + 0.3 * np.abs(np.concatenate([[x[0] - 1], (x[1:] + x[:-1]) / 2, [x[-1] + 1]]))  # of equal ones, nearest to 0
-            self.shift[lang] = -np.concatenate([[x[0] - 1], (x[1:] + x[:-1]) / 2, [x[-1] + 1]])[errors.argmin()]
+            return float(cuts[(errors + PULL * np.abs(cuts - usual)).argmin()])
+
+        both = lambda own: own.any() and labels[own].min() != labels[own].max()
+        logits, langs = self.logits(words), words.languages()
+        if not both(langs == langs):
+            return
+        usual = threshold(langs == langs, 0.0)
+        self.shift[:] = -usual
+        for lang in [-1, *range(len(LANGUAGES))]:
+            own = langs == lang
+            if own.sum() >= 20 and both(own):
+                self.shift[lang] = -threshold(own, usual)
 
 
 def fitted(texts: list[str | None], labels: list[int]) -> Model:
@@ -168,10 +179,10 @@ def fitted(texts: list[str | None], labels: list[int]) -> Model:
     if not len(y) or y.min() == y.max():
         return Model(np.zeros(2 * BUCKETS, np.float32))
     words = Words(texts)
-    part_of = np.arange(len(y)) % 4  # two parts count, the third trains, the last two calibrate
+    part_of = np.arange(len(y)) % 3  # one part counts, one trains, one calibrates
     seen = np.zeros((2, 2 * BUCKETS))
     total = np.zeros(2)
-    for k in np.flatnonzero(part_of < 2):
+    for k in np.flatnonzero(part_of == 0):
         seen[int(y[k]), np.unique(words.buckets[words.texts[k]])] += 1
         total[int(y[k])] += 1
     share = total[1] / max(1, total.sum())
@@ -184,8 +195,8 @@ def fitted(texts: list[str | None], labels: list[int]) -> Model:
         some.texts, some.buckets, some.votes = [words.texts[k] for k in keep], words.buckets, words.votes
         return some, y[keep]
 
-    model.train(*part(np.flatnonzero(part_of == 2)))
-    model.calibrate(*part(np.flatnonzero(part_of >= 2)))
+    model.train(*part(np.flatnonzero(part_of == 1)))
+    model.calibrate(*part(np.flatnonzero(part_of == 2)))
     return model
 
 

@@ -31,6 +31,17 @@ def test_stages(spark, sf):
     assert pipeline.run(spark, sf).count() == five.count()
 
 
+def test_further_columns_keep_their_values(spark, sf):
+    names = ["n_words", "Score", "predicted", "kept", "_cls", "_words", "_salt", "cls", "keeper", "pii"]
+    docs = table(spark, sf, "documents").limit(60).selectExpr("*", *[f"concat('{n}', doc_id) as `{n}`" for n in names])
+    stage = dict(pipeline.STAGES)
+    for name, _ in pipeline.STAGES[:-1]:
+        docs = written(stage[name](spark, docs, sf), "s")
+        assert docs.columns == [*COLUMNS, *names]
+        assert all(r[n] == f"{n}{r['doc_id']}" for r in docs.collect() for n in names)
+    assert docs.count() and stage["packing"](spark, docs, sf).count()
+
+
 def test_empty(spark, sf):
     docs = table(spark, sf, "documents").limit(0)
     for _, stage in pipeline.STAGES:

@@ -166,6 +166,16 @@ def test_pii_frames(docs):
     assert pii.find(docs(texts).limit(0)).isEmpty()
 
 
+def test_further_columns_of_any_name_stay(docs):
+    names = ["_text", "_words", "_lines", "_windows", "text_", "Words_", "lines_", "windows_", "_salt", "salt", "of", "known", "bad", "_host", "_bad"]
+    df = docs(["one two three four five six seven eight nine ten", None], source=["a", None], **{n: [n, None] for n in names})
+    rows = quality.features(df)
+    made = quality.judged(rows, quality.host_verdicts(rows))
+    assert made.columns[: len(df.columns)] == df.columns
+    first = made.where("doc_id = 0").first()
+    assert [first[n] for n in names] == names and first["kept"] and first["n_words"] == 10
+
+
 def test_toxicity(docs, spark):
     rng = random.Random(2)
     words = ["".join(rng.choices("aeioubcdfg", k=4)) for _ in range(400)]
