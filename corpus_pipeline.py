@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bandweave.llm import ngram_join, packing, pii, quality, toxicity
-from bandweave.llm.common import table, written
+from bandweave.llm.common import aside, table, written
 from bandweave.llm.queries import vocabulary
 
 #: Up to so many failed hosts are broadcast; more are joined with salts.
@@ -22,20 +22,23 @@ FEW_HOSTS = 100_000
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents that fail a base rule or whose source fails one as a host."""
-    rows = written(quality.features(docs), "features")  # a filter on what isn't written would be worked out many times over
+    named, called = aside(docs, *quality.MADE)
+    rows = written(quality.features(named), "features")  # a filter on what isn't written would be worked out many times over
     verdicts = written(quality.host_verdicts(rows), "hosts")
     failed = verdicts.filter("host_failed")
     if failed.count() <= FEW_HOSTS:
         kept = rows.filter("not base_failed").join(F.broadcast(failed.select(F.col("host").alias("source"))), "source", "left_anti")
     else:
         kept = quality.judged(rows, verdicts).filter("kept")
-    return kept.select(*docs.columns)
+    return kept.select(*[F.col(called.get(c, c)).alias(c) for c in docs.columns])
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents that a classifier, fitted on the labelled ones among them, predicts to be toxic."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).filter("predicted = 0").select(*docs.columns)
+    named, called = aside(docs, "score", "predicted")
+    kept = toxicity.score(named, model).filter("predicted = 0")
+    return kept.select(*[F.col(called.get(c, c)).alias(c) for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
