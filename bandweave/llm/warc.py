@@ -27,7 +27,7 @@ from bandweave.llm.common import arrow_pass, salt_copies, salted, shared_dir, wr
 LEAST_REVISIT = 1000
 SALTS = 16
 #: Ranges that lie no further apart are read as one, up to so many bytes; a task reads parts of files of SPAN bytes.
-GAP, MOST_READ, SPAN = 64 << 10, 8 << 20, 64 << 20
+GAP, MOST_READ, SPAN = 64 << 10, 8 << 20, 16 << 20
 DATE = "2000-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 INDEX = "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, file string, offset bigint, length bigint"
@@ -131,7 +131,10 @@ RECORD = "page_id bigint, url string, record_type string, refers_to bigint, payl
 
 def read(index: DataFrame, payloads: bool = True) -> DataFrame:
     """The records that the given index rows name, as parsed() gives them; payload is null if not asked for."""
-    spread = index.select("file", "offset", "length").repartition("file", F.floor(F.col("offset") / SPAN)).sortWithinPartitions("file", "offset")
+    index = index.select("file", "offset", "length")
+    # A number of tasks by the archives' bytes: left to the planner, it would follow the index, which is a hundred times smaller.
+    held = index.agg(F.sum("length").alias("n")).first()["n"] or 0
+    spread = index.repartition(max(1, -(-held // SPAN)), "file", F.floor(F.col("offset") / SPAN)).sortWithinPartitions("file", "offset")
     names = [c.split()[0] for c in RECORD.split(", ")]
 
     def work(parts: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:

@@ -47,6 +47,17 @@ def test_coalescing():
     assert warc.coalesced([]) == []
 
 
+def test_reading_tasks_follow_the_archives(pages, monkeypatch):
+    import os
+
+    rows = [(k, "u", os.urandom(3000).hex()) for k in range(40)]
+    index = warc.write(pages(rows))
+    monkeypatch.setattr(warc, "SPAN", 10_000)
+    held = sum(r["length"] for r in index.collect())
+    read = warc.read(index)
+    assert read.rdd.getNumPartitions() >= held // 10_000 and {(r["page_id"], r["payload"]) for r in read.collect()} == {(k, h) for k, _, h in rows}
+
+
 def test_broken_payload():
     row = {"page_id": 1, "url": "u", "html": "abc", "payload_bytes": 3, "payload_digest": hashlib.sha1(b"abd").hexdigest(), "record_type": "response", "refers_to": None}
     with pytest.raises(ValueError, match="digest"):
