@@ -8,10 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 LONG_MIN, LONG_MAX = -(1 << 63), (1 << 63) - 1
-UNSIGNED_MAX = (1 << 64) - 1
 
 
 def long_lit(value: int) -> Column:
@@ -24,14 +22,6 @@ def fdiv(key: Column, width: int) -> Column:
     return F.call_function("div", key, w) - F.when(key % w < 0, F.lit(1).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
 
 
-def _bounds(kind: T.DataType) -> tuple[Column, Column]:
-    if isinstance(kind, T.DecimalType):
-        return F.lit(0).cast(kind), F.lit(UNSIGNED_MAX).cast(kind)
-    if isinstance(kind, T.IntegerType):
-        return F.lit(-(1 << 31)).cast("bigint"), F.lit((1 << 31) - 1).cast("bigint")
-    return long_lit(LONG_MIN), long_lit(LONG_MAX)
-
-
 def sat_sub(key: Column, by: int) -> Column:
     """key - by, or the least 64-bit integer."""
     return F.coalesce(F.try_subtract(key, long_lit(by)), F.when(key.isNotNull(), long_lit(LONG_MIN)))

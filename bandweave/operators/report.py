@@ -6,8 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 RESULT = "joiner string, index string, workers int, attempt int, status string, duration_ms double, throughput double"
-# What the attempts of a sweep can end with.
-STATUSES = ("SUCCESS", "RUN_ERROR", "PARSE_ERROR", "EXEC_ERROR", "TIMEOUT", "UNKNOWN_ERROR", "SOSD_FILE_MISSING")
 # The columns of a sweep's CSV file.
 HEADER = ("JoinerType", "IndexType", "Workers", "Attempt", "Status", "Duration_ms", "Throughput_tuples_s")
 
@@ -35,6 +33,25 @@ def parsed_log(lines: DataFrame, line: str = "value") -> DataFrame:
     return lines.where(F.col(line).rlike(pattern)).select(F.regexp_extract(line, pattern, 1).cast("bigint").alias("worker"), F.regexp_extract(line, pattern, 2).cast("bigint").alias("n_pairs"))
 
 
+def parsed_sizes(lines: DataFrame, line: str = "value") -> DataFrame:
+    """From log lines such as 'Window 3 index r size: 10, index s size: 12': worker, r_size and s_size."""
+    pattern = r"(?i)window\s+(\d+):?\s+index r size:\s+(\d+),\s+index s size:\s+(\d+)"
+    parts = [F.regexp_extract(line, pattern, k + 1).cast("bigint").alias(n) for k, n in enumerate(("worker", "r_size", "s_size"))]
+    return lines.where(F.col(line).rlike(pattern)).select(*parts)
+
+
+def window_table(lines: DataFrame, line: str = "value") -> DataFrame:
+    """One row for each worker that a log names: r_size, s_size and n_pairs, null where it has no such line; of several
+    lines the largest value."""
+    both = parsed_sizes(lines, line).withColumn("n_pairs", F.lit(None).cast("bigint")).unionByName(parsed_log(lines, line).select("worker", *[F.lit(None).cast("bigint").alias(n) for n in ("r_size", "s_size")], "n_pairs"))
+    return both.groupBy("worker").agg(*[F.max(n).alias(n) for n in ("r_size", "s_size", "n_pairs")])
+
+
+def size_lines(sizes: DataFrame) -> DataFrame:
+    """worker, r_size and s_size as such lines."""
+    return sizes.select(F.format_string("Window %s index r size: %s, index s size: %s", *[F.col(c).cast("string") for c in ("worker", "r_size", "s_size")]).alias("value"))
+
+
 def log_lines(counts: DataFrame) -> DataFrame:
     """worker counts as such lines."""
     return counts.select(F.format_string("Window %s: Join count: %s", F.col("worker").cast("string"), F.col("n_pairs").cast("string")).alias("value"))

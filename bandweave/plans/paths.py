@@ -3,19 +3,28 @@
 A theta join alone plans as a nested loop over all pairs. The bucketed paths give Catalyst an equality to hash on: R keeps
 one bucket, S is copied to the few buckets that its range touches, and the exact predicate remains. A pair meets in one
 bucket, so nothing has to be made distinct. Catalyst and AQE choose between broadcast hash and sort-merge joins, and AQE
-splits skewed buckets; `salt` spreads a bucket that is hot by itself.
+splits skewed buckets; `salt` spreads a bucket that is hot by itself. A side that lies in fewer partitions than there are
+cores is dealt out by bucket first: a broadcast join would otherwise run in as few tasks. `register` adds a path.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bandweave.functions.exprs import copies, fdiv, in_band, in_range, sat_add, sat_sub
+from bandweave.plans.spec import PATHS as NAMES
 from bandweave.plans.spec import BandJoinSpec
 
+#: What a nested loop is allowed.
+MOST_PAIRS = 10**10
+#: Cells of the quantile path's model.
+CELLS = 256
+#: Of auto: what copying a row costs against looking at a pair.
+COPY = 20
 OUT = ["r_ts", "r_key", "r_value", "s_ts", "s_key", "s_value"]
 
 
@@ -32,12 +41,32 @@ def kept(joined: DataFrame) -> DataFrame:
 
 
 def small(df: DataFrame, spec: BandJoinSpec) -> bool:
-    """Whether a side has few enough rows to be sent to all executors; counts them, up to that many."""
-    return df.select(F.lit(1)).limit(spec.broadcast_rows + 1).count() <= spec.broadcast_rows
+    """Whether a side has few enough rows, and few enough bytes, to be sent to all executors; counts up to that many rows."""
+    if df.select(F.lit(1)).limit(spec.broadcast_rows + 1).count() > spec.broadcast_rows:
+        return False
+    wide = [F.length(F.col(f.name)) for f in df.schema if f.dataType.typeName() in ("string", "binary")]
+    if not wide:
+        return True  # 64 bytes a row at most
+    held = df.agg(F.sum(sum((F.coalesce(w, F.lit(0)) for w in wide[1:]), F.coalesce(wide[0], F.lit(0)))).alias("n")).first()["n"]
+    return (held or 0) <= 64 * spec.broadcast_rows
+
+
+def spread(df: DataFrame, keys: list[str]) -> DataFrame:
+    """df, dealt out by keys if it lies in fewer partitions than there are cores; tells by the rows' places alone, no column is read."""
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if cores < 2 or df.select(F.spark_partition_id().alias("p")).distinct().limit(cores).count() >= cores:
+        return df
+    return df.repartition(cores, *keys)
 
 
 def nested_loop(r: DataFrame, s: DataFrame, spec: BandJoinSpec) -> DataFrame:
-    """All pairs by the predicate alone: for small inputs, and to hold the other paths against."""
+    """All pairs by the predicate alone: for small inputs, and to hold the other paths against. Refuses more than MOST_PAIRS."""
+    if not (r.isStreaming or s.isStreaming):
+        pairs = r.select(F.lit(1)).count() * s.select(F.lit(1)).count()
+        if pairs > MOST_PAIRS:
+            raise ValueError(f"a nested loop over {pairs} pairs; take another path")
     return kept(r.join(s, exact(spec)))
 
 
@@ -46,6 +75,7 @@ def _salted(r: DataFrame, s: DataFrame, spec: BandJoinSpec, keys: list[str]) ->
         r = r.withColumn("_salt", F.pmod(F.xxhash64("r_ts", "r_key"), F.lit(spec.salt)))
         s = s.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(spec.salt - 1).cast("bigint"))))
         keys = [*keys, "_salt"]
+    r = spread(r, keys)
     return kept(r.join(s, keys).where(exact(spec)))
 
 
@@ -88,13 +118,33 @@ def grid(r: DataFrame, s: DataFrame, spec: BandJoinSpec) -> DataFrame:
 
 
 def quantile(r: DataFrame, s: DataFrame, spec: BandJoinSpec) -> DataFrame:
-    """Buckets between quantiles of R's keys, so that uneven keys make even buckets. Splits are `parts` numbers on the driver."""
-    shares = [k / spec.parts for k in range(1, spec.parts)]
-    splits = sorted({x for x in (r.agg(F.percentile_approx("r_key", shares, 10_000).alias("q")).first()["q"] or [] if shares else [])})
-    at = F.array(*[F.lit(x) for x in splits]) if splits else F.array().cast("array<bigint>")
+    """Buckets between quantiles of R's keys, so that uneven keys make even buckets.
 
-    def bucket(key: Column) -> Column:  # how many splits are not above the key
-        return F.size(F.filter(at, lambda x: x <= key)).cast("bigint")
+    As a learned index does, a key's share of R is told by a model: the range of the keys in CELLS even cells, and straight
+    lines between the shares at their ends, from `parts` quantiles on the driver. The bucket is that share times the number of
+    buckets: as many as bands fit into the range, so that buckets don't grow with the data. Any rising model gives right pairs.
+    """
+    wanted = [0.0, *(k / spec.parts for k in range(1, spec.parts)), 1.0]
+    found = [float(x) for x in r.agg(F.percentile_approx(F.col("r_key").cast("double"), wanted, 10_000).alias("q")).first()["q"] or []]
+    if not found or found[0] == found[-1]:
+        return _salted(*_key_buckets(r, s, spec), spec, ["_kb"])
+    low, high = found[0], found[-1]
+    width = (high - low) / CELLS
+    at, shares = 0, []
+    for k in range(CELLS + 1):
+        x = low + k * width
+        while at < len(found) - 1 and found[at + 1] <= x:
+            at += 1
+        step = found[at + 1] - found[at] if at < len(found) - 1 else 0.0
+        shares.append((at + (min(1.0, (x - found[at]) / step) if step else 0.0)) / spec.parts)
+    buckets = float(max(spec.parts, min(1 << 40, math.ceil((high - low) / (spec.band + 1)))))
+    ends = F.array(*[F.lit(min(1.0, x)) for x in [*shares, shares[-1]]])
+
+    def bucket(key: Column) -> Column:
+        x = F.greatest(F.lit(0.0), F.least(F.lit(float(CELLS)), (key.cast("double") - F.lit(low)) / F.lit(width)))
+        cell = F.floor(x).cast("int")
+        one, two = F.get(ends, cell), F.get(ends, cell + 1)
+        return F.floor((one + (x - cell) * (two - one)) * F.lit(buckets)).cast("bigint")
 
     s = s.withColumn("_kb", F.explode(F.sequence(bucket(sat_sub(F.col("s_key"), spec.band)), bucket(sat_add(F.col("s_key"), spec.band)))))
     return _salted(r.withColumn("_kb", bucket(F.col("r_key"))), s, spec, ["_kb"])
@@ -108,22 +158,38 @@ def replicated(r: DataFrame, s: DataFrame, spec: BandJoinSpec) -> DataFrame:
     r, s = _key_buckets(r, s, spec)
     s = s.withColumn("worker", F.pmod(F.col("s_ts"), F.lit(spec.workers).cast("bigint")))
     if small(r, spec):
-        joined = s.join(F.broadcast(r), "_kb")
+        joined = spread(s, ["worker", "_kb"]).join(F.broadcast(r), "_kb")
     else:
         joined = s.join(r.withColumn("worker", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(spec.workers - 1).cast("bigint")))), ["worker", "_kb"])
     return kept(joined.where(exact(spec)))
 
 
 def auto(r: DataFrame, s: DataFrame, spec: BandJoinSpec) -> DataFrame:
-    """The bucketed path on the range that is narrower against what R spans; one scan of R's two columns decides."""
+    """The bucketed path of the least cost, copies of S and pairs looked at; one scan of each side decides.
+
+    The grid's pairs don't grow with the square of the rows where both ranges grow with the data.
+    """
     if r.isStreaming or s.isStreaming or not isinstance(spec.band, int):
         return key_bucket(r, s, spec)
-    span = r.agg(*[f(c).cast("decimal(38,0)").alias(n) for c, n, f in (("r_ts", "a", F.min), ("r_ts", "b", F.max), ("r_key", "c", F.min), ("r_key", "d", F.max))]).first()
-    if span is None or span["a"] is None or span["c"] is None:
+    ends = [f(c).cast("decimal(38,0)").alias(n) for c, n, f in (("r_ts", "a", F.min), ("r_ts", "b", F.max), ("r_key", "c", F.min), ("r_key", "d", F.max))]
+    span = r.agg(F.count("*").alias("n"), *ends).first()
+    if span["a"] is None or span["c"] is None:
         return key_bucket(r, s, spec)
-    by_ts = (2 * spec.window + 1) / (float(span["b"]) - float(span["a"]) + 1)
-    by_key = (2 * spec.band + 1) / (float(span["d"]) - float(span["c"]) + 1)
-    return (time_bucket if by_ts < by_key else key_bucket)(r, s, spec)
+    many, others = float(span["n"]), float(s.select(F.lit(1)).count())
+    near = lambda by, width, low, high: min(1.0, (2 * by + width) / (float(high) - float(low) + 1))
+    by_ts, by_key = near(spec.window, ts_width(spec), span["a"], span["b"]), near(spec.band, key_width(spec), span["c"], span["d"])
+    copied = lambda by, width: 2 + 2 * by // width
+    ts_copies, key_copies = copied(spec.window, ts_width(spec)), copied(spec.band, key_width(spec))
+    costs = [(COPY * n * others + many * others * share, k, path) for k, (n, share, path) in enumerate(((key_copies, by_key, key_bucket), (ts_copies, by_ts, time_bucket), (ts_copies * key_copies, by_ts * by_key, grid)))]
+    return min(costs)[2](r, s, spec)
+
+
+PATHS: dict[str, Callable[[DataFrame, DataFrame, BandJoinSpec], DataFrame]] = {f.__name__: f for f in (auto, nested_loop, key_bucket, time_bucket, grid, quantile, replicated)}
 
 
-PATHS = {f.__name__: f for f in (auto, nested_loop, key_bucket, time_bucket, grid, quantile, replicated)}
+def register(name: str, path: Callable[[DataFrame, DataFrame, BandJoinSpec], DataFrame]) -> None:
+    """Adds a path, which specifications can name from then on. It gets sides as the others do and gives the columns OUT."""
+    if name in PATHS:
+        raise ValueError(f"there is a path {name!r} already")
+    PATHS[name] = path
+    NAMES.append(name)

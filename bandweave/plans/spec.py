@@ -5,7 +5,8 @@ from __future__ import annotations
 from dataclasses import dataclass, replace
 from typing import Any
 
-PATHS = ("auto", "nested_loop", "key_bucket", "time_bucket", "grid", "quantile", "replicated")
+#: The paths that can be named; paths.register() adds to them.
+PATHS = ["auto", "nested_loop", "key_bucket", "time_bucket", "grid", "quantile", "replicated"]
 PRELOADS = (None, "broadcast", "handshake")
 #: Names under which the paths and strategies are known elsewhere.
 ALIASES = {"list": "nested_loop", "bplustree": "key_bucket", "bucket": "key_bucket", "alex": "quantile", "pgm": "quantile", "broadcast": "replicated", "handshake": "key_bucket", "partitioned": "key_bucket"}
@@ -17,7 +18,7 @@ class BandJoinSpec:
 
     path: the physical path; "auto" takes a bucketed one by the estimated cost. workers: parts of the replicated path, and of the
     per-worker counts. preload: rows at the start that are in the windows before the join begins, by protocol.
-    key_width, ts_width: widths of buckets (default: range + 1). parts: quantiles of the quantile path. salt: copies over
+    key_width, ts_width: widths of buckets (default: range + 1). parts: quantiles of the quantile path's model, and its least number of buckets. salt: copies over
     which a hot bucket is spread. Any W, D >= 0 is accepted.
     """
 

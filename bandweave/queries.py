@@ -171,7 +171,7 @@ def preload_handshake(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join.band_join(permuted(spark, sf_dir, 1), permuted(spark, sf_dir, 77), PERM_SPEC.but(path="key_bucket", preload="handshake", workers=4))
 
 
-@query(f"with p as ({PERM_SQL}), q as (select * from p where s_key between r_key - 100 and r_key + 100) select p.*, cast(1 as bigint) as n_one, cast(0 as bigint) as n_two from p where not exists (select 1 from q where q.r_ts = p.r_ts and q.s_ts = p.s_ts)")
+@query(f"select p.*, cast(1 as bigint) as n_one, cast(0 as bigint) as n_two from ({PERM_SQL}) p where s_key not between r_key - 100 and r_key + 100")
 def pair_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     r, s = permuted(spark, sf_dir, 1), permuted(spark, sf_dir, 77)
     return join.same_pairs(join.band_join(r, s, PERM_SPEC), join.band_join(r, s, PERM_SPEC.but(band=100)))

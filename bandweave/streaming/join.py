@@ -7,7 +7,10 @@ epoch itself would count as late before the first watermark.
 
 from __future__ import annotations
 
+import re
 import tempfile
+import threading
+import time
 import uuid
 from typing import Any
 
@@ -23,8 +26,12 @@ UNITS = {"millis": ("timestamp_millis", 1), "micros": ("timestamp_micros", 1000)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Where executors can read what others wrote: spark.checkpoint.dir, or a local folder where it is unset (tests)."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}").rstrip("/")
+    """Where executors can read what others wrote: spark.checkpoint.dir, or a local folder where it is unset and the driver
+    is the only machine (tests)."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (found or f"file://{tempfile.gettempdir()}").rstrip("/")
 
 
 def with_event_time(df: DataFrame, unit: str = "millis", delay: str = "0 seconds") -> DataFrame:
@@ -36,6 +43,8 @@ def stream_band_join(r: DataFrame, s: DataFrame, spec: BandJoinSpec, unit: str =
     """Pairs of two streams (ts, key, value), as band_join gives them. delay: how much later than the latest row others may come."""
     if spec.preload is not None:
         raise ValueError("preloading is for joins over whole inputs")
+    if r.sparkSession.conf.get("spark.sql.streaming.multipleWatermarkPolicy", "min") != "min":
+        raise ValueError("the faster side's watermark would drop rows of the slower one: set spark.sql.streaming.multipleWatermarkPolicy to min")
     r, s = (with_event_time(df, unit, delay).select(*[F.col(c).alias(f"{n}_{c}") for c in ("ts", "key", "value", "et")]) for df, n in ((r, "r"), (s, "s")))
     r, s = paths._key_buckets(r, s, spec)
     r = r.withColumnRenamed("_kb", "_r")
@@ -45,13 +54,23 @@ def stream_band_join(r: DataFrame, s: DataFrame, spec: BandJoinSpec, unit: str =
 
 
 def write_replay(df: DataFrame, files: int = 4) -> str:
-    """df written as so many Parquet files in the order of ts, one after the other; gives their folder."""
-    out = f"{shared_dir(df.sparkSession)}/replay-{uuid.uuid4().hex}"
-    ends = df.select(F.percentile_approx("ts", [k / files for k in range(1, files)] or [1.0], 10_000).alias("q")).first()["q"] or []
-    bounds = [None, *sorted(set(ends if files > 1 else [])), None]
-    for low, high in zip(bounds, bounds[1:]):
-        part = df if low is None else df.where(F.col("ts") > low)
-        (part if high is None else part.where(F.col("ts") <= high)).coalesce(1).write.mode("append").parquet(out)
+    """df written as Parquet files in the order of ts, so many at most, in one pass by ranges of ts; gives their folder.
+
+    Replaying takes files in the order in which they were written, so ranges are written first and then renamed one by one.
+    """
+    spark = df.sparkSession
+    out = f"{shared_dir(spark)}/replay-{uuid.uuid4().hex}"
+    df.repartitionByRange(files, "ts").write.parquet(f"{out}-parts")
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    root = hadoop.Path(f"{out}-parts")
+    store = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    store.mkdirs(hadoop.Path(out))
+    names = sorted(f.getPath().getName() for f in store.listStatus(root) if f.getPath().getName().startswith("part-"))
+    for k, name in enumerate(names):  # part numbers follow the ranges
+        to = hadoop.Path(f"{out}/{k:05d}-{name}")
+        store.rename(hadoop.Path(f"{out}-parts/{name}"), to)
+        store.setTimes(to, 1_000_000_000_000 + 1000 * k, -1)
+    store.delete(root, True)
     return out
 
 
@@ -59,37 +78,48 @@ def read_replay(spark: SparkSession, folder: str, like: DataFrame, per_trigger:
     return spark.readStream.schema(like.schema).option("maxFilesPerTrigger", per_trigger).parquet(folder)
 
 
-def late_rows(progress: list[Any]) -> int:
-    return sum(int(op["numRowsDroppedByWatermark"]) for p in progress for op in p["stateOperators"])
-
-
 def run_available_now(df: DataFrame, on_late: str = "drop") -> DataFrame:
-    """Runs a stream over all that there is now and gives the rows it wrote. on_late: "drop", or "error" (ValueError)."""
+    """Runs a stream over all that there is now and gives the rows it wrote. on_late: "drop", or "error" (ValueError), whichever
+    batch the late rows came in."""
     if on_late not in ("drop", "error"):
         raise ValueError("on_late must be 'drop' or 'error'")
     spark, out = df.sparkSession, f"{shared_dir(df.sparkSession)}/stream-{uuid.uuid4().hex}"
+    watch = StateWatch() if on_late == "error" else None  # a query itself remembers its latest batches alone
+    if watch is not None:
+        spark.streams.addListener(watch)
     query = df.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
-    if on_late == "error" and (n := late_rows(query.recentProgress)):
-        raise ValueError(f"{n} rows came behind the watermark")
+    if watch is not None:
+        watch.ended.wait(60)
+        spark.streams.removeListener(watch)
+        if n := sum(b["late"] for b in watch.batches if b["run"] == str(query.runId)):
+            raise ValueError(f"{n} rows came behind the watermark")
     return spark.read.schema(df.schema).parquet(f"{out}/rows")
 
 
 class StateWatch(StreamingQueryListener):
-    """Keeps, of each batch of all queries: rows read, rows held in state, and rows dropped as late."""
+    """Keeps, of each batch of all queries: rows read, rows held in state, and rows dropped as late. every: of batches that
+    end within so many seconds of the last kept one, late rows alone are added to it."""
 
-    def __init__(self) -> None:
-        self.batches: list[dict[str, int]] = []
+    def __init__(self, every: float = 0.0) -> None:
+        self.batches: list[dict[str, Any]] = []
+        self.ended = threading.Event()
+        self.every, self.last = every, float("-inf")
 
     def onQueryStarted(self, event: Any) -> None:  # noqa: N802
         pass
 
     def onQueryProgress(self, event: Any) -> None:  # noqa: N802
-        p = event.progress
-        self.batches.append({"batch": p.batchId, "rows": p.numInputRows, "state_rows": sum(o.numRowsTotal for o in p.stateOperators), "late": sum(o.numRowsDroppedByWatermark for o in p.stateOperators)})
+        p, now = event.progress, time.monotonic()
+        late = sum(o.numRowsDroppedByWatermark for o in p.stateOperators)
+        if self.batches and now - self.last < self.every and self.batches[-1]["run"] == str(p.runId):
+            self.batches[-1]["late"] += late
+            return
+        self.last = now
+        self.batches.append({"run": str(p.runId), "batch": p.batchId, "rows": p.numInputRows, "state_rows": sum(o.numRowsTotal for o in p.stateOperators), "late": late})
 
     def onQueryIdle(self, event: Any) -> None:  # noqa: N802
         pass
 
     def onQueryTerminated(self, event: Any) -> None:  # noqa: N802
-        pass
+        self.ended.set()

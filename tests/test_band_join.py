@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from bandweave import BandJoinSpec
 from bandweave.operators import join
@@ -136,3 +137,42 @@ def test_fractional_keys(spark):
     rows = [(t, rng.uniform(-5, 5)) for t in range(60)]
     df = spark.createDataFrame([(t, k, k) for t, k in rows], "ts bigint, key double, value double")
     assert pairs(join.band_join(df, df, BandJoinSpec(9, 0.5, "key_bucket"))) == brute(rows, rows, 9, 0.5)
+
+
+def test_a_path_can_be_added(side):
+    def by_key(r, s, spec):
+        return paths.kept(r.join(s, F.abs(F.col("r_key") - F.col("s_key")) <= spec.band).where(paths.exact(spec)))
+
+    paths.register("by_key", by_key)
+    try:
+        r = side([(1, 5), (2, 9)])
+        assert join.band_join(r, r, BandJoinSpec(5, 1, "by_key")).count() == 2
+        with pytest.raises(ValueError, match="already"):
+            paths.register("by_key", by_key)
+    finally:
+        del paths.PATHS["by_key"]
+        paths.NAMES.remove("by_key")
+
+
+def test_a_nested_loop_refuses_large_inputs(spark, monkeypatch):
+    monkeypatch.setattr(paths, "MOST_PAIRS", 99)
+    rows = spark.range(10).select(F.col("id").alias("ts"), F.col("id").alias("key"), F.col("id").alias("value"))
+    with pytest.raises(ValueError, match="another path"):
+        join.band_join(rows, rows, BandJoinSpec(1, 1, "nested_loop"))
+
+
+def test_auto_takes_the_grid_where_both_ranges_are_narrow(spark, monkeypatch):
+    rows = spark.range(40_000).select(F.col("id").alias("ts"), (F.col("id") * 7919 % 40_000).alias("key"), F.col("id").alias("value"))
+    taken = []
+    for name in ("grid", "time_bucket", "key_bucket"):
+        monkeypatch.setattr(paths, name, lambda r, s, spec, f=getattr(paths, name), name=name: taken.append(name) or f(r, s, spec))
+    wide = {name: join.band_join(rows, rows, BandJoinSpec(w, d)).count() for name, w, d in (("grid", 100, 100), ("time_bucket", 20, 40_000), ("key_bucket", 40_000, 20))}
+    assert taken == [*wide] and all(wide.values())
+
+
+def test_skewed_keys_on_quantiles(side):
+    import random
+
+    rng = random.Random(3)
+    r, s = ([(t, int(rng.paretovariate(0.5))) for t in range(300)] for _ in range(2))
+    assert pairs(join.band_join(side(r), side(s), BandJoinSpec(200, 3, "quantile", parts=16))) == brute(r, s, 200, 3)

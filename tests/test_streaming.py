@@ -39,3 +39,37 @@ def test_options(spark, side):
         streaming.stream_band_join(side([]), side([]), BandJoinSpec(1, 1, preload="broadcast"))
     with pytest.raises(ValueError):
         streaming.run_available_now(side([]), on_late="x")
+
+
+def test_late_rows_of_any_batch_are_seen(spark, side, monkeypatch):
+    """The query remembers its last batch alone; the late row comes well before."""
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", "1")
+    try:
+        r, s = ([side([(t, 1)]) for t in (0, 100_000, 150_000, late, 200_000, 300_000, 400_000)] for late in (10, 150_001))
+        folders = []
+        for rows in (r, s):
+            parts = [streaming.write_replay(df, 1) for df in rows]
+            folder = f"{parts[0]}-all"
+            hadoop = spark._jvm.org.apache.hadoop.fs
+            store = hadoop.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+            store.mkdirs(hadoop.Path(folder))
+            for k, part in enumerate(parts):
+                for f in store.listStatus(hadoop.Path(part)):
+                    to = hadoop.Path(f"{folder}/{k}-{f.getPath().getName()}")
+                    store.rename(f.getPath(), to)
+                    store.setTimes(to, 1_000_000_000_000 + 1000 * k, -1)
+            folders.append(folder)
+        streams = [streaming.read_replay(spark, folder, r[0]) for folder in folders]
+        with pytest.raises(ValueError, match="behind the watermark"):
+            streaming.run_available_now(streaming.stream_band_join(*streams, BandJoinSpec(5, 1)), on_late="error")
+    finally:
+        spark.conf.unset("spark.sql.streaming.numRecentProgressUpdates")
+
+
+def test_the_slower_side_sets_the_watermark(spark, side):
+    spark.conf.set("spark.sql.streaming.multipleWatermarkPolicy", "max")
+    try:
+        with pytest.raises(ValueError, match="multipleWatermarkPolicy"):
+            streaming.stream_band_join(side([]), side([]), BandJoinSpec(5, 1))
+    finally:
+        spark.conf.unset("spark.sql.streaming.multipleWatermarkPolicy")
