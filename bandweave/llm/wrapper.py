@@ -442,15 +442,28 @@ class Matcher:
             self.size[(p, q)] = 1 + int(row[-1])
 
     def pairs(self, x: list[int], y: list[int]) -> list[tuple[int, int]]:
-        """Places in two lists of kinds that are matched."""
-        if x == y:
-            return [(k, k) for k in range(len(x))]
-        rows, columns, weight, missing = self.weights(x, y)
-        for p, q in missing:
-            self.sized(p, q)
-        if missing:
-            rows, columns, weight, _ = self.weights(x, y)
-        return best_pairs(rows, columns, weight)
+        """Places in two lists of kinds that are matched. Equal kinds at either end match whole, so no other match is larger."""
+        n, m, end = len(x), len(y), min(len(x), len(y))
+        first = 0
+        while first < end and x[first] == y[first]:
+            first += 1
+        last = 0
+        while last < end - first and x[n - 1 - last] == y[m - 1 - last]:
+            last += 1
+        out = [(k, k) for k in range(first)]
+        x, y = x[first : n - last], y[first : m - last]
+        if x and y:
+            labels = [self.label[k] for k in x]
+            if len(set(labels)) == len(labels) and labels == [self.label[k] for k in y]:  # each has one partner alone
+                out += [(first + k, first + k) for k in range(len(x))]
+            else:
+                rows, columns, weight, missing = self.weights(x, y)
+                for p, q in missing:
+                    self.sized(p, q)
+                if missing:
+                    rows, columns, weight, _ = self.weights(x, y)
+                out += [(first + i, first + j) for i, j in best_pairs(rows, columns, weight)]
+        return out + [(n - k, m - k) for k in range(last, 0, -1)]
 
 
 def aligned(one: Shape, two: Shape) -> list[tuple[int, int]]:
