@@ -38,9 +38,9 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = simhash.chained(table(spark, sf_dir, "documents"))
+    rows = simhash.searched(simhash.chained(table(spark, sf_dir, "documents")))
     found = [simhash.hex_of("fp_hi", "fp_lo").alias("fingerprint"), simhash.hex_of("edited_hi", "edited_lo").alias("edited_fingerprint")]
-    return rows.select("doc_id", "n_chars", F.col("edited").alias("edited_sha256"), *found, simhash.likeness("fp", "edited").alias("near_edited"), simhash.likeness("fp", "next").alias("near_next"))
+    return rows.select("doc_id", "n_chars", F.col("edited").alias("edited_sha256"), *found, simhash.likeness("fp", "edited").alias("near_edited"), simhash.likeness("fp", "next").alias("near_next"), "n_within", "least_within")
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,10 +1,12 @@
 import hashlib
+import math
 import random
 import re
 from itertools import combinations
 
 import numpy as np
 import pytest
+import xxhash
 
 from bandweave.llm import ngram_join, simhash
 from bandweave.llm.components import components
@@ -175,3 +177,52 @@ def test_all_within_the_radius(spark):
     got = {(whole(r["q_hi"], r["q_lo"]), whole(r["c_hi"], r["c_lo"]), r["distance"]) for r in simhash.within(df.limit(60), df, radius=6).collect()}
     some = [whole(r[0], r[1]) for r in df.limit(60).collect()]
     assert got == {(a, b, (a ^ b).bit_count()) for a in set(some) for b in set(prints) if (a ^ b).bit_count() <= 6}
+
+
+@pytest.mark.parametrize("more", [{}, {"split": 16, "held": 2, "block": 7}])
+def test_neighbours_equal_brute_force(spark, more):
+    rng = random.Random(11)
+    rows, group = [], rng.getrandbits(128)
+    for p in [rng.getrandbits(128) for _ in range(30)] + [group] * 150 + [0] * 5 + [(1 << 128) - 1] * 3:
+        for bit in rng.sample(range(128), rng.choice([0, 1, 2, 4, 8])):
+            p ^= 1 << bit
+        rows.append(p)
+    rows += rng.sample(rows, 40)  # repeated
+    ids = [None if k % 50 == 7 else rng.randrange(1000) for k in range(len(rows))]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    df = spark.createDataFrame([(i, signed(p >> 64), signed(p & (1 << 64) - 1), "x") for i, p in zip(ids, rows)], "doc_id bigint, fp_hi bigint, fp_lo bigint, salt string").repartition(3)
+    whole = lambda hi, lo: (hi & (1 << 64) - 1) << 64 | lo & (1 << 64) - 1
+    got = {whole(r[0], r[1]): (r[2], r[3]) for r in simhash.neighbours(simhash.prints(df, "fp_hi", "fp_lo", "doc_id % 4 = 0"), **more).collect()}
+    want = {}
+    for p in {p for i, p in zip(ids, rows) if i is not None and i % 4 == 0}:
+        near = [i for i, q in zip(ids, rows) if (p ^ q).bit_count() <= simhash.RADIUS]
+        want[p] = len(near), min((i for i in near if i is not None), default=None)
+    assert got == want and max(n for n, _ in want.values()) > 20
+    if not more:
+        out = simhash.searched(df, asked="doc_id % 4 = 0").collect()
+        key = lambda r: tuple((x is None, x or 0) for x in r)
+        assert sorted(((r["doc_id"], whole(r["fp_hi"], r["fp_lo"]), r["n_within"], r["least_within"]) for r in out), key=key) == sorted(((i, p, *(want[p] if i is not None and i % 4 == 0 else (None, None))) for i, p in zip(ids, rows)), key=key)
+        assert simhash.searched(df.limit(0)).isEmpty()
+
+
+@pytest.mark.parametrize("text", ["one", "a b a b a b c", "A rose is a rose is a rose .", "x " * 50 + "y"])
+def test_bits_are_the_votes(text):
+    words = [xxhash.xxh3_64_intdigest(w) for w in text.lower().split()]
+    full = (1 << 64) - 1
+
+    def stirred(x, seed):
+        x ^= seed
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & full
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & full
+        return x ^ x >> 31
+
+    pairs = [stirred(a * 0x9E3779B97F4A7C15 + b & full, 1) for a, b in zip(words, words[1:])]
+    votes = [0.0] * 128
+    for terms, weight in ((words, 1), (pairs, simhash.PAIR_WEIGHT)):
+        for term in set(terms):
+            hashed = b"".join(stirred(term, seed).to_bytes(8, "little") for seed in (2, 3))
+            for bit in range(128):
+                votes[bit] += (1 if hashed[bit // 8] >> 7 - bit % 8 & 1 else -1) * weight * (1 + math.log(terms.count(term)))
+    assert min(map(abs, votes)) > 1e-4  # no tie that rounding could decide
+    whole = sum((v > 0) << 127 - bit for bit, v in enumerate(votes))
+    assert [x & full for x in simhash.fingerprint(text)] == [whole >> 64, whole & full]
