@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bandweave.operators import counting
 from bandweave.plans import paths, preload
 from bandweave.plans.spec import BandJoinSpec
 
@@ -28,15 +29,20 @@ def self_join(df: DataFrame, spec: BandJoinSpec) -> DataFrame:
 
 
 def count_pairs(r: DataFrame, s: DataFrame, spec: BandJoinSpec) -> DataFrame:
-    """One row, n_pairs. Only the key and time columns are read."""
+    """One row, n_pairs. Only the key and time columns are read. On path "auto" pairs are counted without being made."""
+    if spec.path == "auto" and counting.countable(r, s, spec):
+        return total(counting.grouped_counts(r, s, spec, F.lit(0)).withColumnRenamed("n", "n_pairs"))
     return band_join(r.select("ts", "key", F.lit(0).alias("value")), s.select("ts", "key", F.lit(0).alias("value")), spec).agg(F.count("*").alias("n_pairs"))
 
 
 def worker_counts(r: DataFrame, s: DataFrame, spec: BandJoinSpec) -> DataFrame:
     """worker, n_pairs: pairs by the part that s belongs to (s.ts modulo workers); parts without pairs have 0."""
-    pairs = band_join(r, s, spec).select(F.pmod("s_ts", F.lit(spec.workers).cast("bigint")).alias("worker"))
+    if spec.path == "auto" and counting.countable(s, r, spec):
+        found = counting.grouped_counts(s, r, spec, F.pmod("ts", F.lit(spec.workers).cast("bigint"))).withColumnRenamed("of", "worker")
+    else:
+        found = band_join(r, s, spec).select(F.pmod("s_ts", F.lit(spec.workers).cast("bigint")).alias("worker")).groupBy("worker").agg(F.count("*").alias("n"))
     every = r.sparkSession.range(spec.workers).select(F.col("id").alias("worker"))
-    return every.join(pairs.groupBy("worker").agg(F.count("*").alias("n")), "worker", "left").select("worker", F.coalesce("n", F.lit(0)).alias("n_pairs"))
+    return every.join(found, "worker", "left").select("worker", F.coalesce("n", F.lit(0)).alias("n_pairs"))
 
 
 def total(counts: DataFrame) -> DataFrame:

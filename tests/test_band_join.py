@@ -176,3 +176,22 @@ def test_skewed_keys_on_quantiles(side):
     rng = random.Random(3)
     r, s = ([(t, int(rng.paretovariate(0.5))) for t in range(300)] for _ in range(2))
     assert pairs(join.band_join(side(r), side(s), BandJoinSpec(200, 3, "quantile", parts=16))) == brute(r, s, 200, 3)
+
+
+@pytest.mark.parametrize("rows, most", [(1 << 17, 1 << 20), (8, 16)])
+def test_pairs_are_counted_without_being_made(side, monkeypatch, rows, most):
+    from bandweave.operators import counting
+
+    monkeypatch.setattr(counting, "ROWS", rows)
+    monkeypatch.setattr(counting, "MOST", most)
+    rng, big = random.Random(5), (1 << 63) - 1
+    keys = [*range(-20, 20), *[3] * 30, big, big - 2, -big - 1, -big, None]
+    sides = [[(rng.choice([None, *range(60), *range(60), big, -big - 1]), rng.choice(keys)) for _ in range(n)] for n in (150, 110)]
+    near = lambda a, b, by: a is not None and b is not None and abs(a - b) <= by
+    for window, band in ((0, 0), (7, 2), (1000, 0), (0, 1000), (big // 4, 5)):
+        pairs = [(x, y) for x in sides[0] for y in sides[1] if near(x[0], y[0], window) and near(x[1], y[1], band)]
+        r, s = map(side, sides)
+        spec = BandJoinSpec(window, band, workers=3)
+        assert join.count_pairs(r, s, spec).first()[0] == len(pairs)
+        assert dict(join.worker_counts(r, s, spec).collect()) == {w: sum(y[0] % 3 == w for _, y in pairs) for w in range(3)}
+    assert join.count_pairs(side(sides[0]).limit(0), side(sides[1]), BandJoinSpec(5, 5)).first()[0] == 0
