@@ -20,6 +20,8 @@ from bandweave.plans.spec import BandJoinSpec
 
 #: Rows that a cell is meant to have, and the most that it holds of a side before it is cut into blocks.
 ROWS, MOST = 1 << 17, 1 << 20
+#: From so many copied rows and candidate pairs for a row on, counting is cheaper than making pairs.
+WORTH = 2000.0
 #: Bounds of window and band below which no sum of two 64-bit numbers needs care beyond saturation.
 WIDEST = 1 << 62
 

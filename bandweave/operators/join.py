@@ -28,16 +28,28 @@ def self_join(df: DataFrame, spec: BandJoinSpec) -> DataFrame:
     return band_join(df, df, spec)
 
 
+def planned(r: DataFrame, s: DataFrame, spec: BandJoinSpec) -> tuple[BandJoinSpec, bool]:
+    """spec with "auto" replaced by the cheapest path, and whether counting by rank is cheaper than that path."""
+    if spec.path != "auto" or not counting.countable(r, s, spec):
+        return spec, False
+    cost, path = paths.cheapest(paths.named(r, "r"), paths.named(s, "s"), spec)
+    return spec.but(path=path), cost > counting.WORTH
+
+
 def count_pairs(r: DataFrame, s: DataFrame, spec: BandJoinSpec) -> DataFrame:
-    """One row, n_pairs. Only the key and time columns are read. On path "auto" pairs are counted without being made."""
-    if spec.path == "auto" and counting.countable(r, s, spec):
+    """One row, n_pairs. Only the key and time columns are read. On path "auto" pairs are counted without being made, if there
+    would be many."""
+    r, s = (df.select("ts", "key", F.lit(0).alias("value")) for df in (r, s))
+    spec, many = planned(r, s, spec)
+    if many:
         return total(counting.grouped_counts(r, s, spec, F.lit(0)).withColumnRenamed("n", "n_pairs"))
-    return band_join(r.select("ts", "key", F.lit(0).alias("value")), s.select("ts", "key", F.lit(0).alias("value")), spec).agg(F.count("*").alias("n_pairs"))
+    return band_join(r, s, spec).agg(F.count("*").alias("n_pairs"))
 
 
 def worker_counts(r: DataFrame, s: DataFrame, spec: BandJoinSpec) -> DataFrame:
     """worker, n_pairs: pairs by the part that s belongs to (s.ts modulo workers); parts without pairs have 0."""
-    if spec.path == "auto" and counting.countable(s, r, spec):
+    spec, many = planned(r, s, spec)
+    if many:
         found = counting.grouped_counts(s, r, spec, F.pmod("ts", F.lit(spec.workers).cast("bigint"))).withColumnRenamed("of", "worker")
     else:
         found = band_join(r, s, spec).select(F.pmod("s_ts", F.lit(spec.workers).cast("bigint")).alias("worker")).groupBy("worker").agg(F.count("*").alias("n"))

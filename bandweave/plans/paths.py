@@ -2,9 +2,9 @@
 
 A theta join alone plans as a nested loop over all pairs. The bucketed paths give Catalyst an equality to hash on: R keeps
 one bucket, S is copied to the few buckets that its range touches, and the exact predicate remains. A pair meets in one
-bucket, so nothing has to be made distinct. Catalyst and AQE choose between broadcast hash and sort-merge joins, and AQE
-splits skewed buckets; `salt` spreads a bucket that is hot by itself. A side that lies in fewer partitions than there are
-cores is dealt out by bucket first: a broadcast join would otherwise run in as few tasks. `register` adds a path.
+bucket, so nothing has to be made distinct. Sides are merged in sorted order, and AQE splits skewed buckets; `salt` spreads a
+bucket that is hot by itself. Only a side of few rows is left to Catalyst to broadcast; the other is then dealt out by bucket
+first, if it lies in fewer partitions than there are cores. `register` adds a path.
 """
 
 from __future__ import annotations
@@ -21,6 +21,9 @@ from bandweave.plans.spec import BandJoinSpec
 
 #: What a nested loop is allowed.
 MOST_PAIRS = 10**10
+#: Up to so many copied rows of S may be broadcast, which spares R the shuffle. Beyond that a bucket's rows, chained in a hash
+#: table, are followed through memory for each row of R; a sort-merge join reads them in a row, about nine times as fast. Salted buckets and the grid's are small.
+CHAINED = 20_000
 #: Cells of the quantile path's model.
 CELLS = 256
 #: Of auto: what copying a row costs against looking at a pair.
@@ -75,7 +78,10 @@ def _salted(r: DataFrame, s: DataFrame, spec: BandJoinSpec, keys: list[str]) ->
         r = r.withColumn("_salt", F.pmod(F.xxhash64("r_ts", "r_key"), F.lit(spec.salt)))
         s = s.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(spec.salt - 1).cast("bigint"))))
         keys = [*keys, "_salt"]
-    r = spread(r, keys)
+    if len(keys) == 1 and not (r.isStreaming or s.isStreaming) and s.select(F.lit(1)).limit(CHAINED + 1).count() > CHAINED:
+        s = s.hint("merge")
+    else:
+        r = spread(r, keys)
     return kept(r.join(s, keys).where(exact(spec)))
 
 
@@ -164,24 +170,28 @@ def replicated(r: DataFrame, s: DataFrame, spec: BandJoinSpec) -> DataFrame:
     return kept(joined.where(exact(spec)))
 
 
-def auto(r: DataFrame, s: DataFrame, spec: BandJoinSpec) -> DataFrame:
-    """The bucketed path of the least cost, copies of S and pairs looked at; one scan of each side decides.
-
-    The grid's pairs don't grow with the square of the rows where both ranges grow with the data.
-    """
+def cheapest(r: DataFrame, s: DataFrame, spec: BandJoinSpec) -> tuple[float, str]:
+    """The bucketed path of the least cost, copies of S and pairs looked at, after that cost for a row; one scan of each side
+    decides. The grid's pairs don't grow with the square of the rows where both ranges grow with the data."""
     if r.isStreaming or s.isStreaming or not isinstance(spec.band, int):
-        return key_bucket(r, s, spec)
+        return 0.0, "key_bucket"
     ends = [f(c).cast("decimal(38,0)").alias(n) for c, n, f in (("r_ts", "a", F.min), ("r_ts", "b", F.max), ("r_key", "c", F.min), ("r_key", "d", F.max))]
     span = r.agg(F.count("*").alias("n"), *ends).first()
     if span["a"] is None or span["c"] is None:
-        return key_bucket(r, s, spec)
+        return 0.0, "key_bucket"
     many, others = float(span["n"]), float(s.select(F.lit(1)).count())
     near = lambda by, width, low, high: min(1.0, (2 * by + width) / (float(high) - float(low) + 1))
     by_ts, by_key = near(spec.window, ts_width(spec), span["a"], span["b"]), near(spec.band, key_width(spec), span["c"], span["d"])
     copied = lambda by, width: 2 + 2 * by // width
     ts_copies, key_copies = copied(spec.window, ts_width(spec)), copied(spec.band, key_width(spec))
-    costs = [(COPY * n * others + many * others * share, k, path) for k, (n, share, path) in enumerate(((key_copies, by_key, key_bucket), (ts_copies, by_ts, time_bucket), (ts_copies * key_copies, by_ts * by_key, grid)))]
-    return min(costs)[2](r, s, spec)
+    shares = ((key_copies, by_key, "key_bucket"), (ts_copies, by_ts, "time_bucket"), (ts_copies * key_copies, by_ts * by_key, "grid"))
+    cost, _, path = min((COPY * n * others + many * others * share, k, path) for k, (n, share, path) in enumerate(shares))
+    return cost / (many + others), path
+
+
+def auto(r: DataFrame, s: DataFrame, spec: BandJoinSpec) -> DataFrame:
+    """The path that is cheapest()."""
+    return {"key_bucket": key_bucket, "time_bucket": time_bucket, "grid": grid}[cheapest(r, s, spec)[1]](r, s, spec)
 
 
 PATHS: dict[str, Callable[[DataFrame, DataFrame, BandJoinSpec], DataFrame]] = {f.__name__: f for f in (auto, nested_loop, key_bucket, time_bucket, grid, quantile, replicated)}

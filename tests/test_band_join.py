@@ -184,6 +184,7 @@ def test_pairs_are_counted_without_being_made(side, monkeypatch, rows, most):
 
     monkeypatch.setattr(counting, "ROWS", rows)
     monkeypatch.setattr(counting, "MOST", most)
+    monkeypatch.setattr(counting, "WORTH", -1.0)
     rng, big = random.Random(5), (1 << 63) - 1
     keys = [*range(-20, 20), *[3] * 30, big, big - 2, -big - 1, -big, None]
     sides = [[(rng.choice([None, *range(60), *range(60), big, -big - 1]), rng.choice(keys)) for _ in range(n)] for n in (150, 110)]
