@@ -221,6 +221,11 @@ def tpc_source_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select cast(n_nationkey as bigint) as ts, cast(18446744073709551615 - n_nationkey as decimal(20, 0)) as key, cast(18446744073709551615 - n_nationkey as decimal(20, 0)) as value from nation")
 def sosd_source_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _nation_keys(spark, sf_dir)
+
+
+def _nation_keys(spark: SparkSession, sf_dir: str, **options: int) -> DataFrame:
+    """A file of the nations' keys as unsigned numbers, read back."""
     import numpy as np
     from pyarrow import fs
 
@@ -229,7 +234,7 @@ def sosd_source_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
     store, inner = fs.FileSystem.from_uri(path)
     with store.open_output_stream(inner) as f:
         f.write(np.array([len(keys), *((1 << 64) - 1 - k for k in keys)], "<u8").tobytes())
-    return binary_keys(spark, path, span=10)
+    return binary_keys(spark, path, span=10, **options)
 
 
 # Merged order and windows
@@ -335,3 +340,38 @@ def bench_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(ORACLE["broadcast_worker_counts"])
 def parsed_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.parsed_log(report.log_lines(broadcast_worker_counts(spark, sf_dir)))
+
+
+@query(f"select * from ({ORACLE['broadcast_worker_counts']}) join (select o_orderkey % 8 as worker, count(*) as s_size, (select count(*) from orders) as r_size from orders group by all) using (worker)")
+def window_sizes_of_a_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = permuted(spark, sf_dir, 77)
+    sizes = rows.groupBy(F.expr("pmod(ts, 8)").alias("worker")).agg(F.count("*").alias("s_size")).crossJoin(F.broadcast(rows.agg(F.count("*").alias("r_size"))))  # one row
+    lines = report.size_lines(sizes).unionByName(report.log_lines(broadcast_worker_counts(spark, sf_dir)))
+    return report.window_table(lines)
+
+
+_VALUES = ", ".join("(" + ", ".join(f"cast({'null' if v is None else repr(v)} as {t.split()[1]})" for v, t in zip(row, report.RESULT.replace("string", "varchar").split(", "))) + ")" for row in _RESULTS)
+
+
+@query(f"select * from (values {_VALUES}) as t(" + ", ".join(f'"{c.split()[0]}"' for c in report.RESULT.split(", ")) + ")")
+def results_as_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{streaming.shared_dir(spark)}/results-{uuid.uuid4().hex}"
+    report.write_results(report.results(spark, _RESULTS), folder)
+    return report.read_results(spark, folder)
+
+
+@query("select 'broadcast: 1500.00 ms, ' || printf('%.2f', count(*) / 1.5) || ' tuples/s' as text from orders")
+def throughput_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(report.throughput("broadcast", 1.5, table(spark, sf_dir, "orders").count()),)], "text string")
+
+
+@query("select cast(25 as bigint) as n_rows, cast(sum(18446744073709551615 - n_nationkey::hugeint) as decimal(30, 0)) as keys, count(distinct n_nationkey) as n_keys, cast(300 as bigint) as ts from nation")
+def sosd_source_shuffled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _nation_keys(spark, sf_dir, size=25, seed=9)
+    return rows.agg(F.count("*").alias("n_rows"), F.sum("key").cast("decimal(30, 0)").alias("keys"), F.countDistinct("key").alias("n_keys"), F.sum("ts").alias("ts"))
+
+
+@query(f"select count(*) as n_pairs from ({pairs_sql(7000, 's.key between r.key - 3000 and r.key + 3000', orders_sql(*PERM))})")
+def band_join_count_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of so many pairs that they are counted by rank, from some 10,000 rows a side on."""
+    return join.count_pairs(permuted(spark, sf_dir, 1), permuted(spark, sf_dir, 77), BandJoinSpec(7000, 3000))
