@@ -218,3 +218,14 @@ def test_many_salted_copies_are_not_broadcast(spark, monkeypatch):
     for most, kind in ((500, "SortMergeJoin"), (5000, "BroadcastHashJoin")):
         out = join.band_join(df, df, spec.but(broadcast_rows=most))
         assert joins(out) == {kind} and pairs(out) == brute(rows, rows, 5, 5)
+
+
+def test_the_difference_of_two_large_joins_broadcasts_nothing(spark, monkeypatch):
+    monkeypatch.setattr(paths, "CHAINED", 100)
+    df = known(spark, 20_000, 20_000, 20_000)
+    wide, narrow = (BandJoinSpec(200, band, broadcast_rows=10_000) for band in (100, 60))
+    out = join.same_pairs(join.band_join(df, df, wide), join.band_join(df, df, narrow))
+    assert joins(out) == {"SortMergeJoin"}
+    slow = join.band_join(df, df, wide.but(path="nested_loop")).where("abs(r_key - s_key) > 60")
+    assert out.count() == slow.count() > 0 and join.same_pairs(out.drop("n_one", "n_two"), slow).isEmpty()
+    assert out.where("n_one = 1 and n_two = 0").count() == out.count()
