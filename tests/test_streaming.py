@@ -73,3 +73,22 @@ def test_the_slower_side_sets_the_watermark(spark, side):
             streaming.stream_band_join(side([]), side([]), BandJoinSpec(5, 1))
     finally:
         spark.conf.unset("spark.sql.streaming.multipleWatermarkPolicy")
+
+
+def test_a_hot_key_is_cut_by_time(spark, side):
+    """A row that comes is held against all state of its bucket: here that were all rows of a side."""
+    rows = [(t, 7) for t in range(-300, 600)]
+    spec = BandJoinSpec(4, 2, "key_bucket")
+    stream = streaming.stream_band_join(replayed(spark, side(rows), 2), replayed(spark, side(rows), 3), spec)
+    plan = next(x for x in stream._jdf.queryExecution().analyzed().toString().splitlines() if "Join Inner" in x)
+    assert plan.count(" = ") == 2  # of key and time buckets
+    got = streaming.run_available_now(stream, on_late="error")
+    assert got.count() == 900 * 9 - 4 * 5 and join.same_pairs(got, join.band_join(side(rows), side(rows), spec)).isEmpty()
+
+
+@pytest.mark.parametrize("options", [{"key_width": 1}, {"ts_width": 1}, {"key_width": 50, "ts_width": 3}])
+def test_widths_of_a_stream(spark, side, options):
+    r, s = (side([(t, (t * p) % 40 - 20) for t in range(100)]) for p in (37, 53))
+    spec = BandJoinSpec(6, 3, "key_bucket", **options)
+    got = streaming.run_available_now(streaming.stream_band_join(replayed(spark, r, 2), replayed(spark, s, 2), spec), on_late="error")
+    assert join.same_pairs(got, join.band_join(r, s, spec)).isEmpty()
