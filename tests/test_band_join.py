@@ -242,3 +242,13 @@ def test_long_buckets_of_the_key_are_cut_by_time(side):
     rows = [[(rng.randint(-900, 900), 0 if rng.random() < 0.9 else rng.choice([LOW, HIGH, -1, 1, 5])) for _ in range(1500)] for _ in range(2)]
     out = join.band_join(*map(side, rows), BandJoinSpec(2, 1, "key_bucket"))
     assert cut(out) and pairs(out) == brute(*rows, 2, 1)
+
+
+def test_repeated_pairs_of_few_keys_are_met_within_the_window(side):
+    from collections import Counter
+
+    rows = [(t, t * 7 % 4) for t in range(4000)]
+    pairs_of = join.self_join(side(rows), BandJoinSpec(5, 1, "key_bucket")).select("r_key", "s_key")
+    assert "_tb" in pairs_of._jdf.queryExecution().analyzed().toString()
+    near = Counter((k, rows[u][1]) for t, k in rows for u in range(max(0, t - 5), min(4000, t + 6)) if abs(k - rows[u][1]) <= 1)
+    assert {(x[0], x[1]): x["n"] for x in join.duplicate_pairs(pairs_of).collect()} == near
